@@ -14,7 +14,8 @@ import base64
 import functools
 import hashlib
 import os
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +81,6 @@ def encoder(path: str, pattern: str):
 
 #: Distinct words whose ids a worker keeps; past it the memory starts anew.
 KEPT = 600_000
-#: Where a single space may not be the cut: beside other white space or at an end.
-UNCLEAN = re.compile(r"\s\s|^\s|\s$")
 
 
 def chunks(text: str) -> list[str]:
@@ -89,8 +88,6 @@ def chunks(text: str) -> list[str]:
     such a place (a space is only ever the first character of a word's match), so the parts are encoded one by one.
     The space that a part but the first begins with is left out."""
     parts = text.split(" ")
-    if not UNCLEAN.search(text):
-        return parts
     out = parts[:1]
     for piece in parts[1:]:
         if piece and not piece[0].isspace() and out[-1] and not out[-1][-1].isspace():
@@ -112,28 +109,58 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
-    def match(self, m: str) -> bytes:
-        got = self.matches.get(m)
-        if got is None:
-            shown = m.encode().decode("latin-1").translate(self.chars)
-            got = self.matches[m] = np.array([x.id for x in self.model.tokenize(shown)], dtype="<u4").tobytes()
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
+    def ids(self, m: str) -> bytes:
+        """The ids of one match."""
+        shown = m.replace(" ", "Ġ") if m.isascii() and m.isprintable() else m.encode().decode("latin-1").translate(self.chars)
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def part(self, c: str) -> bytes:
+        """The ids of any text, by its matches."""
+        return b"".join([self.matches.get(m) or self.matches.setdefault(m, self.ids(m)) for m in self.find(c)])
+
+    def word(self, c: str) -> bytes:
+        """The ids of a word with a space before it. Letters alone are one match, and so is one mark after them."""
+        if c.isalpha():
+            return self.ids(" " + c)
+        if c[-1:] in (".", ",") and c[:-1].isalpha():
+            return (self.spaced.get(c[:-1]) or self.ids(" " + c[:-1])) + self.part(c[-1])
+        return self.part(" " + c)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if len(self.spaced) + len(self.matches) > 2 * KEPT:
             self.spaced.clear()
             self.matches.clear()
-        parts = chunks(text)
+        out = self._known(text.split(" "), False)
+        out = self._known(chunks(text), True) if out is None else out
+        return out if sys.byteorder == "little" else np.frombuffer(out, ">u4").astype("<u4").tobytes()
+
+    def _known(self, parts: list[str], any_part: bool) -> bytes | None:
+        """None if a cut lies beside other white space. Only parts without any at their ends are kept."""
+        if not any_part and (not parts[0] or parts[0][-1].isspace()):
+            return None if len(parts) > 1 else self.part(parts[0])
+        out = [self.part(parts[0])]
         spaced = self.spaced
         for c in parts[1:]:
-            if c not in spaced:
-                spaced[c] = b"".join(map(self.match, self.find(" " + c)))
-        head = b"".join(map(self.match, self.find(parts[0])))
-        return np.frombuffer(head + b"".join([spaced[c] for c in parts[1:]]), dtype="<u4")
+            x = spaced.get(c)
+            if x is None:
+                clean = c and not c[0].isspace() and not c[-1].isspace()
+                if not (clean or any_part):
+                    return None
+                a, *lines = c.split("\n")
+                if lines and a and all(lines) and not any(y[0].isspace() or y[-1].isspace() for y in (a, *lines)):
+                    x = (spaced.get(a) or self.word(a)) + b"".join([self.part("\n") + self.part(y) for y in lines])
+                else:
+                    x = self.word(c)
+                if clean and not lines:
+                    spaced[c] = x
+            out.append(x)
+        return b"".join(out)
 
 
-def decode_ids(ids, back: list[bytes]) -> bytes:
-    return b"".join([back[i] for i in ids])
+def decode_ids(ids: bytes, back: list[bytes]) -> bytes:
+    """The bytes of ids (little-endian unsigned 32-bit integers)."""
+    return b"".join([back[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def encode_documents(
@@ -155,15 +182,15 @@ def encode_documents(
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 if offsets:
                     encoded = t.encode_batch(texts, add_special_tokens=False)
-                    ids = [np.asarray(e.ids, dtype="<u4") for e in encoded]
+                    ids = [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
                 else:
                     ids = [encode(x) for x in texts]
-                out = {"id": part.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
+                out = {"id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if digest:
-                    out["ids_sha256"] = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids])
-                    out["decoded_sha256"] = pa.array([hashlib.sha256(decode_ids(x.tolist(), back)).hexdigest() for x in ids])
+                    out["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
+                    out["decoded_sha256"] = pa.array([hashlib.sha256(decode_ids(x, back)).hexdigest() for x in ids])
                 else:
-                    out["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
+                    out["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
                     if offsets:
                         out["offsets"] = pa.array([[a for a, _ in e.offsets] for e in encoded], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
@@ -185,7 +212,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataF
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_pydict({"id": part.column(0), "text": pa.array([decode_ids(x or [], back).decode("utf-8", "replace") for x in part.column(1).to_pylist()], pa.string())})
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "text": pa.array([decode_ids(np.asarray(x or [], "<u4").tobytes(), back).decode("utf-8", "replace") for x in part.column(1).to_pylist()], pa.string())})
 
     kind = dict(encoded.dtypes)["id"]
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, text string")

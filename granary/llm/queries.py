@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, media, minhash, mixing, url_filter
+from . import bpe, line_dedup, media, minhash, mixing, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_minhash": minhash.op3_minhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_media": media.op6_media,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
 }

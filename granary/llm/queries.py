@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, media, minhash, mixing, toxicity, url_filter
+from . import bpe, fingerprints, line_dedup, media, minhash, mixing, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
+    "op10_spotsigs": fingerprints.op10_spotsigs,
 }
 SQL = {"op1_url_filter": url_filter.SQL, "op5_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}

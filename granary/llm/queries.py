@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, lm, media, minhash, mixing, toxicity, url_filter
+from . import bpe, fingerprints, line_dedup, lm, media, minhash, mixing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_lm": lm.op2_lm,
     "op3_minhash": minhash.op3_minhash,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_media": media.op6_media,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -1,0 +1 @@
+"""Spark-native corpus building and measuring."""

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import cleaning  # noqa: F401  (registers its queries)
+from .registry import QUERIES, SQL  # noqa: F401

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import exclusive_sum
+
 
 def dedup_status(docs: DataFrame, exact: Column, prefix: Column, order: list[Column], near: bool = True) -> DataFrame:
     """Adds status: kept, removed_exact or removed_near. Only hashes and the order keys need to be in docs."""
@@ -20,17 +22,6 @@ def dedup_status(docs: DataFrame, exact: Column, prefix: Column, order: list[Col
     return d.withColumn("status", status).drop("_e", "_p")
 
 
-def budget_cut(docs: DataFrame, words: str, order: list[Column], total: int, source: str = "source") -> DataFrame:
-    """Rows in order until the budget is spent; the row that crosses it is kept.
-
-    One row a source is summed first, so the running sum runs within each source and not over one global partition;
-    order must start with the source's priority.
-    """
-    priority, rest = order[0], order[1:]
-    per_source = docs.groupBy(source, priority.alias("_pr")).agg(F.sum(words).alias("_all"))
-    before = F.coalesce(F.sum("_all").over(Window.orderBy("_pr", source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per_source.select(F.col(source).alias("_s"), before.alias("_before"))
-    w = Window.partitionBy(source).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
-    d = docs.withColumn("_mine", F.coalesce(F.sum(words).over(w), F.lit(0)))
-    d = d.join(starts, F.col(source).eqNullSafe(F.col("_s")))
-    return d.where(F.col("_before") + F.col("_mine") < total).drop("_mine", "_before", "_s")
+def budget_cut(docs: DataFrame, words: str, major: list[str], minor: str, total: int) -> DataFrame:
+    """Rows in order of major (source priority first) and minor until the budget is spent; the row that crosses it is kept."""
+    return exclusive_sum(docs, words, major, minor, "_before").where(F.col("_before") < total).drop("_before")

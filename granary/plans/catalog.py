@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import cleaning  # noqa: F401  (registers its queries)
+from . import cleaning, corpus  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL  # noqa: F401

@@ -200,4 +200,4 @@ def q_split_summary(spark, sf_dir):
 t AS (SELECT *, coalesce(sum(n) OVER (ORDER BY source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w) SELECT doc_id, source, n FROM t WHERE before < 100000""")
 def q_budget_cut(spark, sf_dir):
     d = X.documents(spark, sf_dir).where("source_type = 'downloaded'").select("doc_id", "source", T.word_count(F.col("text")).cast("long").alias("n"))
-    return dedup.budget_cut(d, "n", [F.col("source"), F.col("doc_id")], 100_000).select("doc_id", "source", "n")
+    return dedup.budget_cut(d, "n", ["source"], "doc_id", 100_000).select("doc_id", "source", "n")

@@ -10,8 +10,9 @@ one row). Signatures' bands are keys only of classes. Candidates under a key are
 1. Every class meets one pivot of its key; verified links are joined to components.
 2. Keys whose classes are still in several components meet a second pivot in the same way.
 3. What is left is compared in full: classes outside a key's largest component against those of other components,
-   less the pairs already compared and those that set sizes, or the exact distances to the first pivot, rule out
-   (Jaccard distance is a metric). Only links inside one component are skipped; they can't change the components.
+   less the pairs already compared and those that are ruled out by set sizes, by the exact distances to the first
+   pivot (Jaccard distance is a metric), or by shingles that no other set has (they lie in no common part, which
+   sets aside most outliers of a large group at once). Links inside one component are skipped; they change nothing.
 
 With bands x rows = 42 x 6 a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.85 with 2e-9.
 
@@ -30,8 +31,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, shuffle_parts, table
 from .graph import components
+from .lm import ranges
 from .shingles import WordHashes, mixed, shingle_set, word_hashes
 
 BANDS, ROWS, PLACES = 42, 6, 1 << 20
@@ -120,22 +122,64 @@ def class_components(cand: DataFrame, sizes: DataFrame, shingles: DataFrame, per
         state = cut(state.join(several, "key"))
         if seed == 1:
             first = cut(first)
+    n = sizes.select(F.col("id"), F.col("n_shingles").alias("n"))
+    lone = lone_shingles(shingles.join(state.select("id").distinct(), "id"))
+    # a common part holds none of a set's lone shingles, so no set larger than most can be similar enough to it
+    most = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("lone")) / percent - F.col("n") + 1e-6)
+    state = state.join(n, "id").join(lone, "id").withColumn("most", most)
+    least = state.groupBy("key").agg(F.min("n").alias("least"))
+    state = cut(state.join(least, "key").where("most >= least").select("key", "id", "comp", "n", "most"))
     counts = state.groupBy("key", "comp").count()
     largest = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-    n = sizes.select(F.col("id"), F.col("n_shingles").alias("n"))
     seen = tried.select("a", "b", "sim")
-    known = state.join(n, "id").join(first, "key", "left").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
-    known = known.join(seen, ["a", "b"], "left").select("key", "id", "comp", "n", F.when(F.col("id") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")).alias("sim"))
-    outside = known.join(largest, "key").where("comp <> largest").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "comp", "n", "sim")])
-    rest = outside.join(known, "key").where(
-        (F.col("comp") != F.col("comp1")) & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1"))
+    known = state.join(first, "key", "left").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
+    columns = ["id", "comp", "n", "most", F.when(F.col("id") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")).alias("sim")]
+    known = known.join(seen, ["a", "b"], "left").select("key", *columns)
+    outside = known.join(largest, "key").where("comp <> largest").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "comp", "n", "most", "sim")])
+    possible = (
+        (F.col("comp") != F.col("comp1")) & (F.col("n") <= F.col("most1")) & (F.col("n1") <= F.col("most"))
+        & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1"))
         & F.coalesce(F.abs(F.col("sim") - F.col("sim1")) <= 1.000001 - percent / 100, F.lit(True))
     )
+    outside = outside.withColumnRenamed("key", "key1")
+    rest = outside.join(known, (F.col("key1") == F.col("key")) & possible)
     rest = rest.select(*_ordered(F.col("id"), F.col("id1"))).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
     new = cut(_verified(cut(rest), shingles, percent).where("linked"))
     return comps if new.isEmpty() else components(links.select("a", "b").union(new.select("a", "b")))
 
 
+def lone_shingles(shingles: DataFrame) -> DataFrame:
+    """(id, lone): how many shingles of a set no other set has. Parts of sets ask ranges of hashes for what others have."""
+    buckets = shuffle_parts(shingles.sparkSession)
+    d = shingles.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("part"))
+
+    def flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.asarray(x, np.int64).view(np.uint64) for x in rows["shingles"].to_numpy(zero_copy_only=False)]
+        return np.concatenate([*each, np.zeros(0, np.uint64)]), np.array([len(x) for x in each], np.int64)
+
+    def ask(key: tuple, rows: pa.Table) -> pa.Table:
+        u = np.unique(flat(rows)[0])
+        at = np.searchsorted(ranges(u, buckets), np.arange(buckets + 1))
+        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "part": pa.array([key[0].as_py()] * buckets, pa.int32()), "has": pa.array([u[at[b] : at[b + 1]].tobytes() for b in range(buckets)], pa.binary())})
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        has = [np.frombuffer(x, "<u8") for x in rows["has"].to_pylist()]
+        u, n = np.unique(np.concatenate(has), return_counts=True)
+        return pa.table({"part": rows["part"], "shared": pa.array([x[np.isin(x, u[n > 1], assume_unique=True)].tobytes() for x in has], pa.binary())})
+
+    def finish(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        h, sizes = flat(rows)
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        lone = (n[back] == 1) & ~np.isin(h, np.frombuffer(b"".join(answers["shared"].to_pylist()), "<u8"))
+        sums = np.r_[0, np.cumsum(lone)]
+        ends = np.cumsum(sizes)
+        return pa.table({"id": rows["id"], "lone": pa.array(sums[ends] - sums[ends - sizes], pa.int64())})
+
+    answers = d.groupBy("part").applyInArrow(ask, "bucket int, part int, has binary").groupBy("bucket").applyInArrow(answer, "part int, shared binary")
+    kind = dict(d.dtypes)["id"]
+    return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda k, x, y: finish(k, x, y), f"id {kind}, lone long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept): documents linked by a Jaccard similarity of percent / 100 or more."""
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import text as T
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays, a row of the table at a time."""
 
@@ -38,13 +39,15 @@ def rouge_l(pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
 
 
 def distinct_n(rows: DataFrame, text: str, n: int) -> DataFrame:
-    g = rows.select(F.explode(T.ngrams(T.words(F.col(text)), n)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    w = rows.select(T.words(F.col(text)).alias("w"))
+    g = w.select(F.explode(T.ngrams(F.col("w"), n)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     return g.agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.coalesce(F.count(F.lit(1)) / F.sum("c"), F.lit(0.0)).alias("ratio"))
 
 
 def repetition(rows: DataFrame, text: str, n: int) -> DataFrame:
     """Mean share of repeated n-grams over the rows that have any."""
-    g = rows.select(T.ngrams(T.words(F.col(text)), n).alias("g")).where(F.size("g") > 0)
+    w = rows.select(T.words(F.col(text)).alias("w")).where(F.size("w") >= n)
+    g = w.select(T.ngrams(F.col("w"), n).alias("g"))
     return g.agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("rows"), F.avg(1 - F.size(F.array_distinct("g")) / F.size("g")).alias("rate"))
 
 
@@ -55,20 +58,21 @@ def intl_tokens(c: Column) -> Column:
     return T.words(F.regexp_replace(t, r"(\p{S})", " $1 "))
 
 
-def char_grams(c: Column, n: int) -> Column:
-    chars = F.split(F.regexp_replace(c, T.WS, ""), "")
-    return T.ngrams(F.filter(chars, lambda x: x != ""), n)
+def chars(c: Column) -> Column:
+    """The characters that are no white space."""
+    return F.filter(F.split(F.regexp_replace(c, T.WS, ""), ""), lambda x: x != "")
 
 
-def clipped_matches(pairs: DataFrame, key: str, hypothesis: Column, reference: Column, grams, orders: range) -> DataFrame:
-    """(n, matches, hyp, ref): n-gram counts of both sides, each match at most as often as the reference has it."""
-    sides = []
-    for n in orders:
-        for side, c in (("h", hypothesis), ("r", reference)):
-            sides.append(pairs.select(F.col(key).alias("k"), F.lit(n).alias("n"), F.lit(side).alias("side"), F.explode(grams(c, n)).alias("g")))
-    every = sides[0]
-    for s in sides[1:]:
-        every = every.unionByName(s)
+def clipped_matches(pairs: DataFrame, key: str, hypothesis: Column, reference: Column, orders: range) -> DataFrame:
+    """(n, matches, hyp, ref): n-gram counts of two arrays of tokens, each match at most as often as the reference has it."""
+    # tokens are made once, as a column: inside the lambda of n-grams an expression would run for every n-gram
+    both = pairs.select(F.col(key).alias("k"), F.inline(F.array(F.struct(F.lit("h").alias("side"), hypothesis.alias("t")), F.struct(F.lit("r").alias("side"), reference.alias("t")))))
+
+    def of(n: int) -> Column:
+        return F.transform(T.ngrams(F.col("t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+    grams = [of(n) for n in orders]
+    every = both.select("k", "side", F.inline(F.concat(*grams)))
     counts = every.groupBy("k", "n", "g").agg(F.count_if(F.col("side") == "h").alias("h"), F.count_if(F.col("side") == "r").alias("r"))
     return counts.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp"), F.sum("r").alias("ref"))
 

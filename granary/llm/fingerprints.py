@@ -70,8 +70,8 @@ def part_of(c: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def with_next(d: DataFrame, id_col: str, columns: list[str], parts: int | None = None) -> DataFrame:
-    """Adds next_<column> of the row with the next lower id; after the lowest comes the highest.
+def with_next(d: DataFrame, id_col: str, columns: list[str], derived: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """Adds the derived columns and next_<column> of the row with the next lower id; after the lowest comes the highest.
 
     Ids are cut at about equal counts (approximate percentiles); a window runs within each part, and each part has one
     more row, a copy of the first row of the part below, so that no row looks over the edge. Rows are dealt out once.
@@ -82,16 +82,17 @@ def with_next(d: DataFrame, id_col: str, columns: list[str], parts: int | None =
     d = d.withColumn("_part", F.when(c.isNull(), F.lit(-1)).otherwise(part_of(c, sorted(set(cuts)))))
     order = F.struct(*[F.col(x) for x in columns])
     tops = d.groupBy("_part").agg(F.max(c).alias("_top"))
-    heads = d.join(tops.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & c.eqNullSafe(F.col("_top")))
+    # at most parts + 1 rows, so they may be broadcast; only their texts are then dealt out
+    heads = d.join(F.broadcast(tops.withColumnRenamed("_part", "_p")), (F.col("_part") == F.col("_p")) & c.eqNullSafe(F.col("_top")))
     heads = heads.groupBy("_part").agg(F.min(order).alias("_head"))
     ring = Window.orderBy("_part")  # a row a part
     ends = Window.partitionBy()
     ghosts = heads.select(
         "_part", F.coalesce(F.lag("_head").over(ring), F.max_by("_head", "_part").over(ends)).alias("_head")
     ).select("_part", F.lit(True).alias("_ghost"), "_head.*")
-    every = d.withColumn("_ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
+    every = d.withColumn("_ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True).withColumns(derived)
     down = Window.partitionBy("_part").orderBy("_ghost", c.desc_nulls_last(), *columns)
-    for x in columns:
+    for x in [*columns, *derived]:
         every = every.withColumn(f"next_{x}", F.lead(x).over(down))
     return every.where(~F.col("_ghost")).drop("_part", "_ghost")
 
@@ -131,7 +132,7 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def op10_spotsigs(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(docs.withColumn("spots", spots(F.col("text"))), "doc_id", ["doc_id", "text", "spots"])
+    near = with_next(docs, "doc_id", ["doc_id", "text"], {"spots": spots(F.col("text"))})
     near = near.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     near = near.withColumn("edited_spots", spots(F.col("edited")))
     return near.select(

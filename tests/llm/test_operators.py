@@ -1,0 +1,355 @@
+"""The ten operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from granary.llm import bpe, fingerprints, line_dedup, lm, media, minhash, mixing, queries, suffix_dedup, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id int, score double, key string, taken int"
+
+
+def texts(n=60, seed=3):
+    rng = random.Random(seed)
+    vocab = ["the", "of", "and", "ta", "ver", "lo", "ñu", "mi", "xo", "pe", "ri", "su", "É", "ça", "你好"]
+    out = []
+    for i in range(n):
+        k = rng.random()
+        if i > 5 and k < 0.2:
+            out.append(out[rng.randrange(len(out))])  # a copy
+        elif i > 5 and k < 0.5:
+            w = (out[rng.randrange(len(out))] or "a b").split(" ")
+            w[rng.randrange(len(w))] = "edit%d" % i
+            out.append(" ".join(w))
+        else:
+            body = " ".join(rng.choice(vocab) + rng.choice(vocab) for _ in range(rng.randrange(1, 80)))
+            out.append(body + ("\nSame line\n" if k < 0.8 else "") + ("\t same LINE \n\n" if k > 0.7 else ""))
+    return out
+
+
+def rows():
+    t = [None, "", " \n\t ", "a", *texts(), "long " * 4000 + "end", "x" * 5000]
+    out = [(i, x, "en", None if i % 11 == 0 else f"s{i % 3}", None, "r", 1, 0.5, "k", 2) for i, x in enumerate(t)]
+    return out
+
+
+def table(spark, some=None):
+    return spark.createDataFrame(rows() if some is None else some, SCHEMA).repartition(5)
+
+
+def awkward(spark):
+    """The same with null ids and repeated rows."""
+    r = rows()
+    return table(spark, [*r, *r[4:9], *[(None, *x[1:]) for x in r[:12]]])
+
+
+OPERATORS = {
+    "url": lambda d: url_filter.judge_urls(d.withColumn("url", F.concat(F.lit("http://A.net/"), F.col("text"))), d.sparkSession.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA)),
+    "lm": lambda d: lm.score(d, F.lit(True)),
+    "minhash": minhash.near_duplicates,
+    "suffix": suffix_dedup.dedup_substrings,
+    "lines": line_dedup.dedup_lines,
+    "media": media.store_texts,
+    "toxicity": lambda d: toxicity.score_documents(d, None),
+    "bpe": bpe.encode_documents,
+    "mixing": mixing.mix,
+    "fingerprints": fingerprints.fingerprints,
+    "next": lambda d: fingerprints.with_next(d.select("doc_id", "text"), "doc_id", ["doc_id", "text"], {}),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_and_empty_tables(spark, name):
+    d = awkward(spark)
+    assert OPERATORS[name](d).count() == d.count()
+    assert OPERATORS[name](d.where("false")).count() == 0
+
+
+def test_urls(spark):
+    urls = [None, "", "no-scheme.net/x", "http://net/", "http://NET", "https://a.b.example.net/en/x?y#z", "http://example.net/de/", "http://example.com/de/1", "http://x.example.com/en/", "http://w.org/fr/",
+            "http://w.org/fr", "http://notnet/", "http://a.net:80/", "ftp://u@h.net/p", "x://y://a.net/q", "http://.net/", "http://a..net/", "http://net./", "http:///p", "http://é.net/?q"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    out = url_filter.judge_urls(d, spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA), salts=3)
+    for r in out.collect():
+        u = r["row"]["url"]
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            n = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+            host, path = "".join(c.lower() if c.isascii() else c for c in rest[:n]), rest[n:]
+            path = path[: min([path.index(c) for c in "?#" if c in path] or [len(path)])]
+        fit = [(len(h + p), v, h + p) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, "allow", None))
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best[2], best[1]), u
+
+
+def test_nested_rules_of_one_host_and_ties(spark):
+    rules = spark.createDataFrame([("a.net", "/", "allow"), ("a.net", "/x/", "block"), ("net", "/x/y/long/", "allow"), ("a.net", "/", "block"), (None, "/", "block")], url_filter.RULE_SCHEMA)
+    d = spark.createDataFrame([("http://a.net/x/1",), ("http://b.a.net/q",), ("http://a.net/x/y/long/1",)], "url string")
+    assert {r["row"]["url"]: r["verdict"] for r in url_filter.judge_urls(d, rules).collect()} == {"http://a.net/x/1": "block", "http://b.a.net/q": "block", "http://a.net/x/y/long/1": "allow"}
+
+
+def lm_words(t):
+    return (t or "").encode().lower().split() + [b"\n"]
+
+
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_lm(spark, most):
+    r = rows()
+    train = [x for x in r if x[0] % 3]
+    got = lm.score(table(spark), F.col("doc_id") % 3 != 0, max_broadcast=most).collect()
+    uni, pair = Counter(), Counter()
+    for x in train:
+        w = lm_words(x[1])
+        uni.update(w)
+        pair.update(zip([b"\r", *w], w, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    by = {x[0]: x[1] for x in r}
+    above, total = [], 0
+    for x in got:
+        w = lm_words(by[x["id"]])
+        base = sum(math.log10((uni[a] + 1) / (n + v + 1)) for a in w)
+        score = 0.0
+        for a, b in zip([b"\r", *w], w, strict=False):
+            c = uni[b"\n"] if a == b"\r" else uni[a]
+            q = pair[(a, b)].bit_length()
+            p1 = (uni[b] + 1) / (n + v + 1)
+            score += math.log10(0.2 * min(1, 2 ** (q - 1) / c if q else 0) + 0.8 * p1) if c else math.log10(p1)
+        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(w), sum(uni[a] > 0 for a in w), n)
+        assert math.isclose(x["base_score"], base, rel_tol=1e-9) and x["score"] >= score - 1e-6
+        above.append(x["score"] - score)
+        total += len(w)
+    # a filter errs upwards only, and in some thousandths of its probes
+    assert sum(above) <= 0.02 * total
+
+
+def components(sets, percent):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if j < i and sets[i] and sets[j]:
+                k = len(sets[i] & sets[j])
+                if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def shingles(t, n):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_minhash(spark, n):
+    sets = {x[0]: shingles(x[1], n) for x in rows()}
+    want = components(sets, 80)
+    for r in minhash.near_duplicates(table(spark), n=n).collect():
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["id"]]), want[r["id"]], want[r["id"]] == r["id"])
+
+
+def test_minhash_of_a_spread_group(spark):
+    """Many copies with more and more edits: half are too far from any one pivot."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"e{i}x{rng.randrange(99)}"
+        out.append((i, " ".join(w)))
+    want = components({i: shingles(t, 4) for i, t in out}, 80)
+    got = minhash.near_duplicates(spark.createDataFrame(out, "doc_id long, text string").repartition(6), n=4).collect()
+    assert {r["id"]: r["component_id"] for r in got} == want
+
+
+def removed(some, length):
+    seen, out = set(), {}
+    for i, t in sorted(some, key=lambda x: x[0]):
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                cover[s : s + length] = b"\1" * length
+            else:
+                seen.add(b[s : s + length])
+        out[i] = (len(b), sum(cover), sum(c and not p for c, p in zip(cover, b"\0" + cover, strict=False)), bytes(x for x, c in zip(b, cover, strict=True) if not c))
+    return out
+
+
+def test_suffix_dedup(spark):
+    rng = random.Random(2)
+    some = [(x[0], x[1]) for x in rows()]
+    passage = "".join(rng.choice("abc é") for _ in range(300))
+    for i in range(100, 130):
+        a, b = sorted(rng.randrange(300) for _ in range(2))
+        some.append((i, "".join(rng.choice("xyz") for _ in range(50)) + passage[a:b] * rng.randrange(1, 3) + "q" * rng.randrange(150)))
+    want = removed(some, 100)
+    d = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
+    for r in suffix_dedup.dedup_substrings(d).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["id"]], r["id"]
+
+
+def test_lines(spark):
+    key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    docs = {x[0]: (x[1] or "").split("\n") for x in rows()}
+    count = Counter(k for v in docs.values() for k in {key(x) for x in v})
+    for r in line_dedup.dedup_lines(table(spark)).collect():
+        v = docs[r["row"]["doc_id"]]
+        kept = [x for x in v if not key(x) or count[key(x)] < 10]
+        assert (r["n_lines"], r["n_dropped"], r["kept"]) == (len(v), len(v) - len(kept), "\n".join(kept))
+    left = line_dedup.without_lines(table(spark))
+    assert left.columns == table(spark).columns
+
+
+def test_media_round_trip(spark):
+    by = {x[0]: (x[1] or "").encode() for x in rows()}
+    stored = media.store_texts(table(spark), digest=False)
+    for r in stored.collect():
+        want = media.padded(by[r["id"]])
+        m = media.read_media(bytes(r["media"]))
+        assert len(want) % 64 == 0 and want and m.payload(bytes(r["media"])) == want
+        assert r["payload_sha256"] == hashlib.sha256(want).hexdigest() and r["tail_crc32"] == zlib.crc32(want[-64:])
+        assert m.codec == "raw " and math.isclose(m.duration, len(want) / media.RATE)
+    seen = media.media_columns(stored.withColumnRenamed("id", "doc_id")).collect()
+    assert all(len(r["keyframes"]) == -(-r["n_samples"] // media.SYNC) for r in seen)
+
+
+def test_media_of_broken_and_foreign_files():
+    whole = media.write_media(b"x" * 640)
+    assert media.read_media(whole[:100]).codec is None and media.read_media(b"").codec is None and media.read_media(b"\0" * 50).codec is None
+    assert media.read_media(whole[:-10]).codec is None
+    to_end = whole.replace(media.struct.pack(">I4s", 648, b"mdat"), media.struct.pack(">I4s", 0, b"mdat"))
+    assert media.read_media(to_end).payload(to_end) == b"x" * 640
+
+
+def test_toxicity_learns_rare_forms(spark):
+    rng = random.Random(4)
+    good = ["ba", "du", "ke", "lo", "mi", "na", "po", "ri"]
+    out = []
+    for i in range(400):
+        w = ["".join(rng.choice(good) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(10, 200))]
+        y = int(i % 5 == 0)
+        if y:
+            w.insert(rng.randrange(len(w)), "vexquz" + rng.choice(good) + rng.choice(good))
+        out.append((i, " ".join(w), y))
+    d = spark.createDataFrame(out, "doc_id long, text string, toxic int")
+    learned = toxicity.learn(d.where("doc_id < 300"), fit_rows=200, tune_rows=100)
+    got = toxicity.score_documents(d.where("doc_id >= 300"), learned)
+    right = [(r["score"] >= 0.5) == bool(r["toxic"]) for r in got.collect()]
+    assert sum(right) >= 98
+    assert toxicity.learn(d.where("toxic = 0")) is None
+
+
+def test_bpe_equals_tiktoken_and_round_trips(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_ranks()), special_tokens={})
+    odd = ["  \n\n a b  c\x0b\x0c\x1c\x85d", "don't I'LL we've", "你好 नमस्ते 👩‍👩‍👧", "1²③ ½", "a\xa0 b", " " * 50 + "x", "a\n\nb c", "x\n y\n", " a ", "é." * 9]
+    some = [(i, x) for i, x in enumerate([None, *odd, *[r[1] for r in rows()]])]
+    d = spark.createDataFrame(some, "doc_id long, text string")
+    by = dict(some)
+    out = bpe.encode_documents(d)
+    for r in out.collect():
+        assert r["ids"] == enc.encode_ordinary(by[r["id"]] or "") and r["n_tokens"] == len(r["ids"])
+    assert {r["id"]: r["text"] for r in bpe.decode_documents(out).collect()} == {i: t or "" for i, t in some}
+    for r in bpe.encode_documents(d, offsets=True).collect():
+        assert r["ids"] == enc.encode_ordinary(by[r["id"]] or "") and len(r["offsets"]) == len(r["ids"])
+
+
+def test_mixing(spark):
+    out = mixing.mix(table(spark), block=4, shard_words=500).collect()
+    size = {x[0]: len((x[1] or "").encode().split()) for x in rows()}
+    by = defaultdict(list)
+    for r in out:
+        assert r["size"] == size[r["row"]["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"]
+        by[r["source"]].append(r)
+    order = sorted(by, key=lambda s: (s is None, s))
+    cap = {s: 2 * by[s][0]["source_size"] for s in by}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    full, left = set(), 1.5 * sum(size.values())
+    while over := [s for s in by if s not in full and left * weight[s] / sum(weight[t] for t in by if t not in full) > cap[s]]:
+        full |= set(over)
+        left = 1.5 * sum(size.values()) - sum(cap[s] for s in full)
+    for s in by:
+        want = cap[s] if s in full else left * weight[s] / sum(weight[t] for t in by if t not in full)
+        assert math.isclose(by[s][0]["target"], want) and abs(sum(r["taken"] for r in by[s]) - want) <= 4 * (2 + by[s][0]["source_size"] // 500)
+    again = mixing.mix(table(spark).repartition(2), block=4, shard_words=500).collect()
+    assert {r["row"]["doc_id"]: r["taken"] for r in again} == {r["row"]["doc_id"]: r["taken"] for r in out}
+
+
+def test_fingerprints(spark):
+    d = table(spark).select("doc_id", "text")
+    got = fingerprints.with_next(d, "doc_id", ["doc_id", "text"], {}, parts=7).collect()
+    r = sorted(rows(), key=lambda x: -x[0])
+    follow = {x[0]: r[(i + 1) % len(r)] for i, x in enumerate(r)}
+    assert {x["doc_id"]: x["next_doc_id"] for x in got} == {i: x[0] for i, x in follow.items()}
+    assert all(x["next_text"] == follow[x["doc_id"]][1] for x in got)
+    stop = set(fingerprints.ANCHORS)
+
+    def spots(t):
+        w, out = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split(), set()
+        w = [x.decode() for x in w]
+        for i, x in enumerate(w):
+            if x in stop:
+                rest = [(j, y) for j, y in enumerate(w[i + 1 : i + 12]) if y not in stop][:2]
+                if len(rest) == 2:
+                    out.add(tuple(w[i + 1 : i + 2 + rest[1][0]]))
+        return out
+
+    for x in fingerprints.fingerprints(d).collect():
+        assert len(x["spots"]) == len(spots(dict((a[0], a[1]) for a in r)[x["id"]]))
+    pairs = fingerprints.similar_pairs(fingerprints.fingerprints(d), 0.5).collect()
+    sets = {a[0]: spots(a[1]) for a in r}
+    reps = {}
+    for i in sorted(sets):
+        reps.setdefault(frozenset(sets[i]), i)
+    ids = [i for s, i in reps.items() if s]
+    want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    assert {(x["a"], x["b"]) for x in pairs} == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    got = sorted(map(repr, map(tuple, df.select(*cols).collect())))
+    assert got == sorted(map(repr, c.sql(f"SELECT {', '.join(cols)} FROM ({queries.SQL[name]})").fetchall()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in P.STAGES]
+    assert names == ["toxicity", "line_dedup", "near_dedup", "mixing", "encoding"]
+    state = docs
+    for name, stage in P.STAGES[:-1]:
+        before = state
+        state = P.cut(stage(spark, state, sf))
+        assert state.columns == docs.columns, name
+        assert state.select("doc_id").distinct().join(before, "doc_id", "left_anti").count() == 0
+        if name == "near_dedup":
+            want = components({r["doc_id"]: shingles(r["text"], 5) for r in before.collect()}, 80)
+            assert {r["doc_id"] for r in state.collect()} == {i for i, c in want.items() if i == c}
+    out = P.STAGES[-1][1](spark, state, sf)
+    assert out.count() == state.count() and out.where("n_tokens <> size(ids)").count() == 0

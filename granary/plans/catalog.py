@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import cleaning, corpus, evaluation  # noqa: F401  (they register their queries)
+from . import cleaning, corpus, evaluation, extras  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL  # noqa: F401

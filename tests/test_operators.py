@@ -134,3 +134,25 @@ def test_streams_equal_batches(spark, tmp_path):
 
     want = d.where(T.good_document(F.col("text"))).select(T.prefix_hash(F.col("text")).alias("p")).distinct().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_posts_by_month(spark, tmp_path):
+    import json
+
+    from granary.sources.rest import MonthlyPosts
+
+    post = lambda i, d: {"id": i, "date": d, "title": {"rendered": "t"}, "content": {"rendered": "c"}}
+    pages = {"2024-01-0": [post(1, "2024-01-20T00:00:00"), post(1, "2024-01-20T00:00:00"), post(2, "2024-01-02T00:00:00")], "2024-02-0": [post(3, "2024-02-01T00:00:00")], "2024-02-1": []}
+    for name, p in pages.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(p))
+    spark.dataSource.register(MonthlyPosts)
+    got = spark.read.format("monthly_posts").option("path", str(tmp_path)).option("start", "2024-01-15").option("end", "2024-03-01").load()
+    assert sorted((r["id"], r["month"]) for r in got.collect()) == [(1, "2024-01"), (3, "2024-02")]
+
+
+def test_functions_in_sql(spark):
+    from granary.functions.register import register
+
+    register(spark)
+    r = spark.sql("SELECT nfc('é') AS a, words(' x  y ') AS w, word_count(' x  y ') AS n, script_ratio('कa ', '[ऀ-ॿ]') AS s, lcs_length(array('a', 'b'), array('b')) AS l").first()
+    assert (r["a"], r["w"], r["n"], r["s"], r["l"]) == ("é", ["x", "y"], 2, 0.5, 1)

@@ -33,6 +33,8 @@ from .lm import ranges
 from .shingles import mixed
 
 LENGTH, GRAM = 100, 24
+#: Text of a part; its arrays take some hundred MB at most.
+PART_BYTES = 4_000_000
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 BIG = np.iinfo(np.int64).max
 
@@ -173,8 +175,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = shuffle_parts(spark)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     salt = F.when(F.col("id").isNull(), F.xxhash64("text"))
-    d = d.withColumn("part", F.pmod(F.xxhash64("id", salt), F.lit(4 * buckets)).cast("int"))
-    cuts = _splitters(d, 4 * buckets, length)
+    n_rows, n_bytes = d.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(buckets, -(-(n_bytes or 0) // PART_BYTES))
+    d = d.withColumn("part", F.pmod(F.xxhash64("id", salt), F.lit(parts)).cast("int"))
+    cuts = _splitters(d, n_rows, parts, length)
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         u = np.unique(Part(rows["id"].to_pylist(), rows["text"].to_pylist(), length).gram)
@@ -326,9 +330,8 @@ def union(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _splitters(d: DataFrame, buckets: int, length: int, sample_rows: int = 2000) -> list[bytes]:
+def _splitters(d: DataFrame, n: int, buckets: int, length: int, sample_rows: int = 2000) -> list[bytes]:
     """Leading bytes that cut the anchors of a sample of rows into even ranges. Bounded by the sample."""
-    n = d.select("id").count()
     if not n:
         return []
 

@@ -7,12 +7,13 @@ an element are one contiguous slice of pi, so all coordinates come from one gath
 Equal sets are one class first (grouped by 128 bits of the set, a partial minimum of ids, so thousands of copies cost
 one row). Signatures' bands are keys only of classes. Candidates under a key are never paired all with all:
 
-1. Every class meets one pivot of its key; verified links are joined to components.
-2. Keys whose classes are still in several components meet a second pivot in the same way.
-3. What is left is compared in full: classes outside a key's largest component against those of other components,
-   less the pairs already compared and those that are ruled out by set sizes, by the exact distances to the first
-   pivot (Jaccard distance is a metric), or by shingles that no other set has (they lie in no common part, which
-   sets aside most outliers of a large group at once). Links inside one component are skipped; they change nothing.
+1. Shingles that no other candidate has lie in no common part; sets with too many of them can't be similar enough to
+   any set under the key, or to larger ones. That rules out most outliers of a large group before any comparison.
+2. Every class meets one pivot of its key, the one with the fewest lone shingles, so keys of one group share a
+   pivot and the pairs are few. Verified links are joined to components.
+3. Under keys whose classes are still in several components, classes outside the largest are compared with those of the
+   others in full, less the pairs already compared and those that sizes, lone shingles or the exact distances to the
+   pivot rule out (Jaccard distance is a metric). Links inside one component are skipped; they change nothing.
 
 With bands x rows = 42 x 6 a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.85 with 2e-9.
 
@@ -103,46 +104,35 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 def class_components(cand: DataFrame, sizes: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """cand: (key, id) of classes under keys that several share. Returns (id, comp) of the linked ones."""
-    links, tried = None, None
-    state = cand.select("key", "id", F.col("id").alias("comp"))
-    first = None
-    for seed in (1, 2):
-        pivots = state.groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(seed), "key", "id")).alias("pivot"))
-        meets = state.join(pivots, "key").where("id <> pivot")
-        pairs = meets.select(*_ordered(F.col("id"), F.col("pivot"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        new = cut(_verified(pairs, shingles, percent))
-        first = pivots if first is None else first
-        tried = new if tried is None else tried.union(new)
-        links = tried.where("linked")
-        comps = components(links)
-        state = cand.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        state = cut(state.join(several, "key"))
-        if seed == 1:
-            first = cut(first)
-    n = sizes.select(F.col("id"), F.col("n_shingles").alias("n"))
-    lone = lone_shingles(shingles.join(state.select("id").distinct(), "id"))
     # a common part holds none of a set's lone shingles, so no set larger than most can be similar enough to it
     most = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("lone")) / percent - F.col("n") + 1e-6)
-    state = state.join(n, "id").join(lone, "id").withColumn("most", most)
+    facts = sizes.select("id", F.col("n_shingles").alias("n")).join(lone_shingles(shingles), "id").withColumn("most", most)
+    state = cand.select("key", "id").join(facts, "id")
     least = state.groupBy("key").agg(F.min("n").alias("least"))
-    state = cut(state.join(least, "key").where("most >= least").select("key", "id", "comp", "n", "most"))
+    state = cut(state.join(least, "key").where("most >= least").select("key", "id", "n", "lone", "most"))
+
+    def possible(x: str, y: str) -> Column:
+        n, m = F.col(f"n{x}"), F.col(f"n{y}")
+        return (n <= F.col(f"most{y}")) & (m <= F.col(f"most{x}")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+
+    pivot = F.min_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("n1"), F.col("most").alias("most1")), F.struct("lone", "id"))
+    first = cut(state.groupBy("key").agg(pivot.alias("p")).select("key", "p.*"))
+    meets = state.join(first, "key").where((F.col("id") != F.col("pivot")) & possible("", "1"))
+    tried = cut(_verified(meets.select(*_ordered(F.col("id"), F.col("pivot"))).distinct(), shingles, percent))
+    links = tried.where("linked")
+    comps = components(links)
+    state = state.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    state = cut(state.join(several, "key"))
     counts = state.groupBy("key", "comp").count()
     largest = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
     seen = tried.select("a", "b", "sim")
-    known = state.join(first, "key", "left").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
+    known = state.join(first.select("key", "pivot"), "key").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
     columns = ["id", "comp", "n", "most", F.when(F.col("id") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")).alias("sim")]
     known = known.join(seen, ["a", "b"], "left").select("key", *columns)
-    outside = known.join(largest, "key").where("comp <> largest").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "comp", "n", "most", "sim")])
-    possible = (
-        (F.col("comp") != F.col("comp1")) & (F.col("n") <= F.col("most1")) & (F.col("n1") <= F.col("most"))
-        & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1"))
-        & F.coalesce(F.abs(F.col("sim") - F.col("sim1")) <= 1.000001 - percent / 100, F.lit(True))
-    )
-    outside = outside.withColumnRenamed("key", "key1")
-    rest = outside.join(known, (F.col("key1") == F.col("key")) & possible)
+    outside = known.join(largest, "key").where("comp <> largest").select(*[F.col(c).alias(f"{c}1") for c in ("key", "id", "comp", "n", "most", "sim")])
+    near = F.coalesce(F.abs(F.col("sim") - F.col("sim1")) <= 1.000001 - percent / 100, F.lit(True))
+    rest = outside.join(known, (F.col("key1") == F.col("key")) & (F.col("comp") != F.col("comp1")) & possible("", "1") & near)
     rest = rest.select(*_ordered(F.col("id"), F.col("id1"))).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
     new = cut(_verified(cut(rest), shingles, percent).where("linked"))
     return comps if new.isEmpty() else components(links.select("a", "b").union(new.select("a", "b")))

@@ -11,9 +11,10 @@ one row). Signatures' bands are keys only of classes. Candidates under a key are
    any set under the key, or to larger ones. That rules out most outliers of a large group before any comparison.
 2. Every class meets one pivot of its key, the one with the fewest lone shingles, so keys of one group share a
    pivot and the pairs are few. Verified links are joined to components.
-3. Under keys whose classes are still in several components, classes outside the largest are compared with those of the
-   others in full, less the pairs already compared and those that sizes, lone shingles or the exact distances to the
-   pivot rule out (Jaccard distance is a metric). Links inside one component are skipped; they change nothing.
+3. Under pivots whose classes are still in several components, classes outside the largest are compared with those of the
+   others, less the pairs already compared and those that sizes, lone shingles or the differences to the pivot rule out:
+   a linked pair must share some of the rarest shingles in which each differs from the pivot, so only classes
+   with such a difference in common meet. Links inside one component are skipped; they change nothing.
 
 With bands x rows = 42 x 6 a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.85 with 2e-9.
 
@@ -24,13 +25,14 @@ component and the row is kept. n_shingles counts distinct shingles. Extra column
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, shuffle_parts, table
 from .graph import components
@@ -90,12 +92,12 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows:
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with their exact similarity: (a, b, sim, linked)."""
+    """pairs (a, b), compared exactly: (a, b, linked)."""
     left = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("i")
-    return both.select("a", "b", (F.col("i") / union).alias("sim"), (100 * F.col("i") >= percent * union).alias("linked"))
+    return both.select("a", "b", (100 * F.col("i") >= percent * union).alias("linked"))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -122,22 +124,42 @@ def class_components(cand: DataFrame, sizes: DataFrame, shingles: DataFrame, per
     links = tried.where("linked")
     comps = components(links)
     state = state.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    state = cut(state.join(several, "key"))
-    counts = state.groupBy("key", "comp").count()
-    largest = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-    seen = tried.select("a", "b", "sim")
-    known = state.join(first.select("key", "pivot"), "key").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot"))
-    columns = ["id", "comp", "n", "most", F.when(F.col("id") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")).alias("sim")]
-    known = known.join(seen, ["a", "b"], "left").select("key", *columns)
-    outside = known.join(largest, "key").where("comp <> largest").select(*[F.col(c).alias(f"{c}1") for c in ("key", "id", "comp", "n", "most", "sim")])
-    near = F.coalesce(F.abs(F.col("sim") - F.col("sim1")) <= 1.000001 - percent / 100, F.lit(True))
-    rest = outside.join(known, (F.col("key1") == F.col("key")) & (F.col("comp") != F.col("comp1")) & possible("", "1") & near)
-    rest = rest.select(*_ordered(F.col("id"), F.col("id1"))).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    new = cut(_verified(cut(rest), shingles, percent).where("linked"))
+    members = state.join(first.select("key", "pivot"), "key").select("pivot", "id", "n", "most", "comp").distinct()
+    rest = cut(unmet_pairs(members, shingles, possible, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    new = cut(_verified(rest, shingles, percent).where("linked"))
     return comps if new.isEmpty() else components(links.select("a", "b").union(new.select("a", "b")))
 
 
+def unmet_pairs(members: DataFrame, shingles: DataFrame, possible: Callable[[str, str], Column], percent: int) -> DataFrame:
+    """members: (pivot, id, n, most, comp). Pairs (a, b) under one pivot, in two components, that may still be linked.
+
+    A member's delta is its symmetric difference with the pivot. Two sets of n1 + n2 shingles are linked when they differ in
+    at most f * (n1 + n2), and they differ in d1 + d2 less twice what their deltas share. One of the two isn't linked with
+    the pivot, so its delta is larger than f * (n + n0): a linked pair's deltas share at least ``need`` shingles, and
+    each has one of them among its d - need + 1 rarest. Shingles that stand in one delta only come first and meet nothing.
+    """
+    f = (100 - percent) / (100 + percent)
+    counts = members.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("id") == F.col("pivot"), F.col("n"))).alias("n0"))
+    home = F.max(F.when(F.col("n0").isNotNull(), F.col("comp"))).alias("home")
+    facts = counts.groupBy("pivot").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), home, F.max("n0").alias("n0"), F.count(F.lit(1)).alias("comps"))
+    far = members.where("id <> pivot").join(facts.where("comps > 1").drop("comps"), "pivot")
+    far = far.join(shingles.select("id", "shingles"), "id").join(shingles.select(F.col("id").alias("pivot"), F.col("shingles").alias("own")), "pivot")
+    far = far.withColumn("delta", F.concat(F.array_except("shingles", "own"), F.array_except("own", "shingles"))).withColumn("d", F.size("delta"))
+    need = F.when(F.col("comp") == F.col("home"), F.col("d") + f * (F.col("n0") - F.col("n"))).otherwise(F.col("d") - f * (F.col("n") + F.col("n0")))
+    need = F.greatest(F.lit(1), F.ceil(need / 2 - 1e-6))
+    far = cut(far.select("pivot", "id", "n", "most", "comp", "largest", "d", (F.col("d") - need + 1).alias("first"), "delta").where("first > 0"))
+    each = far.select("pivot", "id", "first", F.explode("delta").alias("shingle"))
+    often = each.groupBy("pivot", "shingle").count()
+    rank = F.row_number().over(Window.partitionBy("pivot", "id").orderBy("count", "shingle"))
+    rare = each.join(often, ["pivot", "shingle"]).withColumn("rank", rank).where("rank <= first and count > 1").select("pivot", "id", "shingle", "rank")
+    rare = cut(rare.join(far.drop("delta", "first"), ["pivot", "id"]))
+    outside = rare.where("comp <> largest").select(*[F.col(c).alias(f"{c}1") for c in ("pivot", "shingle", "id", "comp", "n", "most", "d", "rank")])
+    # from the rarest shingle that both deltas have, each must still hold what the pair needs in common
+    near = (F.col("d") + F.col("d1") - f * (F.col("n") + F.col("n1"))) / 2 - 1e-6 <= 1 + F.least(F.col("d") - F.col("rank"), F.col("d1") - F.col("rank1"))
+    meet = (F.col("pivot1") == F.col("pivot")) & (F.col("shingle1") == F.col("shingle")) & (F.col("comp") != F.col("comp1"))
+    return outside.join(rare, meet & possible("", "1") & near).select(*_ordered(F.col("id"), F.col("id1"))).distinct()
+
+
 def lone_shingles(shingles: DataFrame) -> DataFrame:
     """(id, lone): how many shingles of a set no other set has. Parts of sets ask ranges of hashes for what others have."""
     buckets = shuffle_parts(shingles.sparkSession)

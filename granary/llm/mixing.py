@@ -65,11 +65,16 @@ def sainte_lague(votes: DataFrame, seats: Column, within: list[str], name: str,
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
     share: float = 1.5, limit: float = 2.0, block: int = 64, shard_words: int = 1 << 18, seed: str = "mix-1",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(row, size, source, source_size, target, taken). taken: the words that the mix takes, repeats counted, up to limit * size."""
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.coalesce(F.regexp_count(F.col(f"row.`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.col(f"row.`{source_col}`").alias("source"), F.col(f"row.`{id_col}`").alias("_id"),
+    """(row, size, source, source_size, target, taken). taken: the words that the mix takes, repeats counted, up to limit * size.
+
+    keep: the columns of row, all by default; without the text among them no text is shuffled.
+    """
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("_id"),
     )
     d = d.withColumn("_at", seeded("_id", seed))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -85,7 +90,7 @@ def mix(
         shards.select(F.col("source").alias("s1"), F.col("shard").alias("s2"), "shard_size", "quota").alias("s"),
         F.col("d.source").eqNullSafe(F.col("s1")) & (F.col("d.shard") == F.col("s2")),
     )
-    line = Window.partitionBy("source", "shard").orderBy(F.floor(F.col("_at") / F.col("shards")), "_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source", "shard").orderBy(F.floor(F.col("_at") / F.col("shards")), "_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     want = F.least((F.col("quota") * block).cast("long"), F.floor(F.col("shard_size") * F.lit(float(limit))))
     rounds = F.when(F.col("shard_size") > 0, F.floor(want / F.col("shard_size"))).otherwise(0).cast("long")
     d = d.withColumn("_rounds", rounds).withColumn("_rest", want - rounds * F.col("shard_size")).withColumn("_end", F.sum("size").over(line))
@@ -103,7 +108,7 @@ def mixed(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(docs, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 SQL = r"""

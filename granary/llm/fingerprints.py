@@ -35,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def chain_pattern(anchors: list[str], chain: int) -> str:
     stop = f"(?:{'|'.join(sorted(set(anchors)))})"
     gap = r"[\x20\x09-\x0D]+"
-    common = rf"(?:{stop}{gap}){{0,8}}"
+    common = rf"(?:{stop}{gap})*+"  # a content word is no anchor, so nothing is given back
     content = rf"(?!{stop}(?![^\x20\x09-\x0D])){WORD}"
     return rf"(?<![^\x20\x09-\x0D])(?={stop}{gap}({common}{content}(?:{gap}{common}{content}){{{chain - 1}}}))"
 

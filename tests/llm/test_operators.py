@@ -323,6 +323,14 @@ def test_fingerprints(spark):
     assert {(x["a"], x["b"]) for x in pairs} == want
 
 
+def test_fingerprints_of_long_runs_of_common_words(spark):
+    run = "of the and " * 700
+    some = ["the apple " + run + "pear", run + "apple pear", run + "apple " + run + "pear", "the apple " + run, run]
+    d = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {x["id"]: len(x["spots"]) for x in fingerprints.fingerprints(d).collect()}
+    assert got[0] == 1 and got[1] > 0 and got[2] > 0 and got[3] == got[4] == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"

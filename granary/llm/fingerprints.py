@@ -1,12 +1,13 @@
 """Document fingerprints by SpotSigs [native].
 
 An anchor (a common word of one of four languages) starts a chain of the ``chain`` content words that follow it; common
-words between are passed over. The set of a text's chains, hashed to 64 bits, is its fingerprint. Two texts are as
+words between are passed over, and neither they nor the kind of white space are part of the chain. The set of a text's chains, hashed to 64 bits, is its fingerprint. Two texts are as
 alike as the Jaccard similarity of their sets; ``similar_pairs`` finds pairs by partitioning the sets by length, where
 sets whose lengths differ by more than the threshold are never met.
 
-Chains come from one regular expression over the text, a look-ahead whose group is the chain, so chains overlap freely
-and only chains, not words, become rows of an array.
+Chains come from one regular expression over the text, a look-ahead whose group is the chain with what stands between, so
+chains overlap freely and only chains, not words, become rows of an array. Of anchors in a row only the last is matched, as
+all start the same chain.
 
 Defined results: null text is the empty text; a text without chains has the empty set, and two empty sets have
 likeness 1 only if their texts are equal, else 0. Rows of one id share the text that sorts first; null ids come last
@@ -30,20 +31,22 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def chain_pattern(anchors: list[str], chain: int) -> str:
     stop = f"(?:{'|'.join(sorted(set(anchors)))})"
-    gap = r"[\x20\x09-\x0D]+"
-    common = rf"(?:{stop}{gap})*+"  # a content word is no anchor, so nothing is given back
+    common = rf"(?:{stop}{GAP})*+"  # a content word is no anchor, so nothing is given back
     content = rf"(?!{stop}(?![^\x20\x09-\x0D])){WORD}"
-    return rf"(?<![^\x20\x09-\x0D])(?={stop}{gap}({common}{content}(?:{gap}{common}{content}){{{chain - 1}}}))"
+    return rf"(?<![^\x20\x09-\x0D])(?={stop}{GAP}({content}(?:{GAP}{common}{content}){{{chain - 1}}}))"
 
 
 def spots(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
-    """The distinct chains of a text, as sorted 64-bit hashes."""
-    found = F.regexp_extract_all(ascii_lower(text), F.lit(chain_pattern(anchors or ANCHORS, chain)), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    """The distinct chains of a text, as sorted 64-bit hashes of their content words with one space between."""
+    anchors = sorted(set(anchors or ANCHORS))
+    found = F.regexp_extract_all(ascii_lower(text), F.lit(chain_pattern(anchors, chain)), F.lit(1))
+    content = lambda s: F.array_join(F.filter(F.split(s, GAP), lambda w: ~w.isin(anchors)), " ")
+    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(found), lambda s: F.xxhash64(content(s)))))
 
 
 def digest(spots_col: Column) -> Column:

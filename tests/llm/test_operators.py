@@ -331,6 +331,31 @@ def test_fingerprints_of_long_runs_of_common_words(spark):
     assert got[0] == 1 and got[1] > 0 and got[2] > 0 and got[3] == got[4] == 0
 
 
+def test_fingerprints_are_of_content_words_only(spark):
+    rng, stop = random.Random(8), set(fingerprints.ANCHORS)
+    base = "the quick fox and the lazy dog in a green field with tall old trees"
+    alike = [base, base.replace(" ", "\n\t"), base.replace("quick fox", "quick of the fox"), base.replace("in a", "on the"), base.upper()]
+    vocab = [*rng.sample(sorted(stop), 8), "apple", "pear", "theo", "an-a", "más", "plum"]
+    some = alike + ["".join(rng.choice(vocab) + rng.choice([" ", "\n", " \t "]) for _ in range(rng.randrange(200))) for _ in range(40)]
+
+    def chains(t, k):
+        w, out = t.lower().split(), set()
+        for i, x in enumerate(w):
+            rest = [y for y in w[i + 1 :] if y not in stop][:k]
+            if x in stop and len(rest) == k:
+                out.add(tuple(rest))
+        return out
+
+    d = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for k in (1, 2, 3):
+        hashed = {c: h for c, h in spark.createDataFrame([(" ".join(c),) for c in {c for t in some for c in chains(t, k)}], "c string").select("c", F.xxhash64("c")).collect()}
+        for x in fingerprints.fingerprints(d, chain=k).collect():
+            assert x["spots"] == sorted(hashed[" ".join(c)] for c in chains(some[x["id"]], k))
+            assert x["id"] >= len(alike) or x["spots"]
+    got = {x["id"]: x["spots"] for x in fingerprints.fingerprints(d).collect()}
+    assert got[0] == got[1] == got[3] == got[4] and set(got[0]) < set(got[2])  # an inserted anchor starts one more chain
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"

@@ -6,8 +6,10 @@ class knows a context the two likelihoods are equal, so a rare ordinary word say
 of a known toxic word is still recognised by its characters. A document counts once for each distinct word.
 
 The length-normalised log-likelihoods (per character) are compared for every word of the whole text; the document's evidence
-is its most toxic expression, so neither long nor short texts drown it. A logistic curve fitted on labelled rows
-apart from those that made the counts turns evidence into a score.
+is its most toxic expression, so neither long nor short texts drown it. A token of more than ``WHOLE`` characters is parted
+at punctuation and symbols; a part that is still longer (scripts without spaces) would drown what it holds, so it counts as
+the most toxic of its stretches of ``STRETCH`` characters, which keep those before them as context. A logistic curve
+fitted on labelled rows apart from those that made the counts turns evidence into a score.
 
 Fit: a bounded sample of labelled training rows (``fit_rows`` + ``tune_rows``, the first by a hash of the id), as labels
 are few and the model is then small enough to broadcast at any size of corpus (proven bound: the characters n-grams
@@ -20,8 +22,10 @@ labels, are not used; without labels of both classes every score is 0.0. Extra c
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +36,23 @@ from .common import table
 
 LONG, SHARED, DISCOUNT = 5, 2, 0.9
 MAX_GRAMS = 4_000_000
+WHOLE, STRETCH = 64, 12
 MARKS = ".,;:!?\"'()[]{}«»…"
 
 
 def expressions(text: str | None) -> list[str]:
-    return [w for w in (x.strip(MARKS) for x in (text or "").lower().split()) if w]
+    words = (x.strip(MARKS) for x in (text or "").lower().split())
+    return [p for w in words if w for p in ([w] if len(w) <= WHOLE else between_marks(w))]
+
+
+def between_marks(token: str) -> list[str]:
+    """The words of a token, parted at punctuation and symbols."""
+    return "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in token).split()
 
 
 def grams(word: str) -> Iterator[str]:
     """Every character of ^word$ with the 0 to LONG characters before it."""
-    s = f"^{word[:64]}$"
+    s = f"^{word}$"
     for j in range(1, len(s)):
         for k in range(min(j, LONG) + 1):
             yield s[j - k : j + 1]
@@ -55,22 +66,30 @@ class Model:
         self.known: dict[str, float] = {}
 
     def word(self, w: str) -> float:
-        """Per character of the word."""
+        """Per character of the word, or of the most toxic part of a long one."""
+        if len(w) > WHOLE:
+            sums = [0.0, *accumulate(self.characters(w))]
+            return max(y - x for x, y in zip(sums, sums[STRETCH:], strict=False)) / STRETCH
         got = self.known.get(w)
         if got is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            s, total = f"^{w[:64]}$", 0.0
-            for j in range(1, len(s)):
-                for k in range(min(j, LONG), SHARED - 1, -1):
-                    r = self.ratio.get(s[j - k : j + 1])
-                    if r is not None:
-                        total += r
-                        break
-                    total += self.backoff.get(s[j - k : j], 0.0)
-            got = self.known[w] = total / (len(s) - 1)
+            got = self.known[w] = sum(self.characters(w)) / (len(w) + 1)
         return got
 
+    def characters(self, w: str) -> Iterator[float]:
+        """Of every character of the word and of its end."""
+        s = f"^{w}$"
+        for j in range(1, len(s)):
+            total = 0.0
+            for k in range(min(j, LONG), SHARED - 1, -1):
+                r = self.ratio.get(s[j - k : j + 1])
+                if r is not None:
+                    total += r
+                    break
+                total += self.backoff.get(s[j - k : j], 0.0)
+            yield total
+
     def evidence(self, text: str | None) -> float:
         return max(map(self.word, set(expressions(text))), default=0.0)
 

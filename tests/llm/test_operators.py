@@ -254,6 +254,29 @@ def test_toxicity_learns_rare_forms(spark):
     assert toxicity.learn(d.where("toxic = 0")) is None
 
 
+@pytest.mark.parametrize("glue", ["-", "_", "/", "", "、"])
+@pytest.mark.parametrize("glued_labels", [False, True])
+def test_toxicity_in_long_tokens(spark, glue, glued_labels):
+    rng = random.Random(6)
+    good = ["ba", "du", "ke", "lo", "mi", "na", "po", "ri"]
+
+    def text(y, between, n):
+        w = ["".join(rng.choice(good) for _ in range(rng.randrange(1, 5))) for _ in range(n)]
+        if y:
+            w.insert(rng.randrange(n * 2 // 3, n), "vexquz" + rng.choice(good))  # far beyond the first 64 characters
+        return between.join(w)
+
+    some = [(i, text(i % 4 == 0, glue if glued_labels else " ", 60), int(i % 4 == 0)) for i in range(300)]
+    learned = toxicity.learn(spark.createDataFrame(some, "doc_id long, text string, toxic int"), fit_rows=200, tune_rows=100)
+    model, slope, offset = learned
+    for y in (0, 1):
+        right = sum((slope * model.evidence(text(y, glue, 60)) + offset >= 0) == bool(y) for _ in range(50))
+        # words glued without a mark differ from the separate words that a model has learned: there the form must only be seen
+        assert right >= 48 or (glue == "" and not glued_labels), (y, right)
+    t = text(0, glue, 60)
+    assert model.evidence(t + glue + "vexquzba" + glue + text(0, glue, 9)) > model.evidence(t + glue + text(0, glue, 9)) + 0.05
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark):
     import public_tokenizers as P
     import tiktoken

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,23 @@ MARK = "▁"
 EOS = 3
 
 
-def training_lines(docs: DataFrame, text: str = "text", share: float = 0.25, least: int = 20, limit: int = 2_000_000, seed: int = 1337) -> DataFrame:
-    """A seeded Bernoulli sample of lines of a least length, up to a limit (this sampling operator's feature)."""
+def training_lines(docs: DataFrame, text: str = "text", share: float = 0.25, least: int = 20, limit: int = 3_000_000, seed: int = 1337) -> DataFrame:
+    """A seeded Bernoulli sample of lines of a least length, up to a limit (this sampling operator's feature).
+
+    Beyond the limit the lines that come first in a seeded order stay. Lines are counted by ranges of that order, so only the
+    one range where the limit falls is sorted.
+    """
     each = docs.select("doc_id", F.posexplode(T.lines(F.col(text))).alias("pos", "raw")).select("doc_id", "pos", T.strip(F.col("raw")).alias("line"))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "pos"), F.lit(1_000_000)) < int(share * 1_000_000)
-    return each.where((F.length("line") >= least) & drawn).select("line").limit(limit)
+    order = F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "pos")
+    sample = each.where((F.length("line") >= least) & drawn).withColumn("o", order).withColumn("range", F.shiftright("o", 48))
+    left = limit
+    for r, n in sorted(map(tuple, sample.groupBy("range").count().collect())):  # 65,536 rows at most
+        if n > left:
+            last = sample.where(F.col("range") == r).orderBy("o", "doc_id", "pos", "line").limit(left)
+            return sample.where(F.col("range") < r).unionByName(last).select("line")
+        left -= n
+    return sample.select("line")
 
 
 def word_frequencies(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -28,61 +41,68 @@ def word_frequencies(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.select(F.explode(T.words(F.col(column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train_bpe(words: DataFrame, size: int, max_words: int = 200_000, coverage: float = 0.9995) -> list[str]:
+def train_bpe(words: DataFrame, size: int, coverage: float = 0.9995) -> list[str]:
     """Pieces by id: specials, 256 bytes, merged pieces in order of merging, single characters.
 
-    words: (word, n). Merges are learned on the max_words most frequent words (a documented bound of the trainer, which
-    is sequential by nature); ties go to the smaller pair.
+    words: (word, n). Merges are learned on all words; ties go to the smaller pair. The trainer is sequential by nature and
+    holds the distinct words on the driver, a number and a weight a character (12 bytes, some times that while it merges).
     """
-    rows = words.orderBy(F.desc("n"), "word").limit(max_words).collect()
-    chars: Counter = Counter()
-    for w, n in rows:
-        for c in MARK + w:
-            chars[c] += n
-    total, seen, alphabet = sum(chars.values()), 0, []
-    for c, n in sorted(chars.items(), key=lambda x: (-x[1], x[0])):
+    t = words.select("word", F.col("n").cast("long").alias("n")).toArrow()
+    end = "\ud800"  # never in a text
+    code = np.frombuffer("".join([f"{MARK}{w}{end}" for w in t["word"].to_pylist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at_end = code == ord(end)
+    weight = t["n"].to_numpy()[np.cumsum(at_end) - at_end]
+    count = np.zeros(0x110000, np.int64)
+    np.add.at(count, code[~at_end], weight[~at_end])
+    total, seen, alphabet = int(count.sum()), 0, []
+    for c in sorted(np.flatnonzero(count).tolist(), key=lambda c: (-count[c], c)):
         if seen >= coverage * total:
             break
-        alphabet.append(c)
-        seen += n
-    known = set(alphabet)
-    split = [[c if c in known else "" for c in MARK + w] for w, _ in rows]
-    weight = [n for _, n in rows]
+        alphabet.append(chr(c))
+        seen += int(count[c])
+    number = np.full(0x110000, -1, np.int32)
+    number[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    symbols = number[code]  # -1: an end or an unknown character
+    texts = list(alphabet)
+    ids = {c: i for i, c in enumerate(texts)}
     pairs: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, s in enumerate(split):
-        for p in zip(s, s[1:], strict=False):
-            if all(p):
-                pairs[p] += weight[i]
-                where[p].add(i)
+
+    def add(slots: np.ndarray, sign: int) -> None:
+        """Counts the pairs that begin at these places."""
+        slots = slots[(slots >= 0) & (slots < len(symbols) - 1)]
+        slots = slots[(symbols[slots] >= 0) & (symbols[slots + 1] >= 0)]
+        keys, of = np.unique(symbols[slots].astype(np.int64) << 32 | symbols[slots + 1], return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, of, weight[slots])
+        for k, n in zip(keys.tolist(), sums.tolist(), strict=True):
+            p = (k >> 32, k & 0xFFFFFFFF)
+            pairs[p] += sign * n
+            if pairs[p] <= 0:
+                del pairs[p]
+
+    for lo in range(0, len(symbols), 4_000_000):
+        add(np.arange(lo, min(lo + 4_000_000, len(symbols))), 1)
     merges: list[str] = []
     room = size - len(SPECIALS) - 256 - len(alphabet)
     while len(merges) < room and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < 2:
+        x, y = min(pairs, key=lambda p: (-pairs[p], texts[p[0]], texts[p[1]]))
+        if pairs[x, y] < 2:
             break
-        merges.append("".join(best))
-        for i in sorted(where.pop(best)):
-            old, new, k = split[i], [], 0
-            while k < len(old):
-                if k + 1 < len(old) and (old[k], old[k + 1]) == best:
-                    new.append("".join(best))
-                    k += 2
-                else:
-                    new.append(old[k])
-                    k += 1
-            for p in zip(old, old[1:], strict=False):
-                if all(p):
-                    pairs[p] -= weight[i]
-                    if pairs[p] <= 0:
-                        del pairs[p]
-                        where.pop(p, None)
-            for p in zip(new, new[1:], strict=False):
-                if all(p):
-                    pairs[p] += weight[i]
-                    where[p].add(i)
-            split[i] = new
-        pairs.pop(best, None)
+        merges.append(texts[x] + texts[y])
+        new = ids.setdefault(merges[-1], len(texts))
+        if new == len(texts):
+            texts.append(merges[-1])
+        at = np.flatnonzero((symbols[:-1] == x) & (symbols[1:] == y))
+        if x == y:  # of places in a row every other, from the left
+            head = np.r_[True, at[1:] != at[:-1] + 1]
+            at = at[(at - at[head][np.cumsum(head) - 1]) % 2 == 0]
+        add(np.unique(np.concatenate([at - 1, at, at + 1])), -1)
+        stay = np.ones(len(symbols), bool)
+        stay[at + 1] = False
+        symbols[at] = new
+        symbols, weight = symbols[stay], weight[stay]
+        at = at - np.arange(len(at))
+        add(np.unique(np.concatenate([at - 1, at])), 1)
     return [*SPECIALS, *(f"<0x{b:02X}>" for b in range(256)), *dict.fromkeys([*merges, *alphabet])]
 
 

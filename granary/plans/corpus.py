@@ -68,7 +68,7 @@ def q_vocab_selection(spark, sf_dir):
 
 def trained(spark, sf_dir: str, size: int = 600) -> list[str]:
     lines = vocab.training_lines(X.documents(spark, sf_dir))
-    return vocab.train_bpe(vocab.word_frequencies(lines), size, max_words=20_000)
+    return vocab.train_bpe(vocab.word_frequencies(lines), size)
 
 
 @query()

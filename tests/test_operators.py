@@ -73,6 +73,38 @@ def test_bpe_round_trip(spark):
     assert [pieces[i] for i in vocab.encode_word("é", rank)][-2:] == ["<0xC3>", "<0xA9>"]
 
 
+def test_bpe_learns_from_all_words(spark):
+    words = spark.range(210_000).selectExpr("concat('w', lpad(id, 6, '0')) as word", "3L as n").unionByName(spark.createDataFrame([("éé", 1)], "word string, n long"))
+    assert "é" in vocab.train_bpe(words, 290, coverage=1.0)
+    some = [(f"{a}{b}{c}", 3) for a in "abcdefghijklmnopqrst" for b in "uvwxyzabcdefghijklmn" for c in range(55)]
+    # brute force: all pairs counted anew before each merge
+    split, merges = [(list(vocab.MARK + w), n) for w, n in some[::40] + [("aaaa", 9), ("aaa", 5)]], []
+    few = spark.createDataFrame(some[::40] + [("aaaa", 9), ("aaa", 5)], "word string, n long").repartition(3)
+    for _ in range(30):
+        pairs = {}
+        for s, n in split:
+            for p in zip(s, s[1:], strict=False):
+                pairs[p] = pairs.get(p, 0) + n
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        merges.append("".join(best))
+        for s, _ in split:
+            k = 0
+            while k < len(s) - 1:
+                if (s[k], s[k + 1]) == best:
+                    s[k : k + 2] = ["".join(best)]
+                k += 1
+    assert vocab.train_bpe(few, 600, coverage=1.0)[260:290] == merges
+
+
+def test_training_lines_up_to_a_limit(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j} of the document {i}" for j in range(30))) for i in range(60)], "doc_id long, text string")
+    whole = {r["line"] for r in vocab.training_lines(docs).collect()}
+    for limit in (0, 1, 100, len(whole) - 1, len(whole), len(whole) + 1):
+        got = [r["line"] for r in vocab.training_lines(docs.repartition(5), limit=limit).collect()]
+        assert len(got) == min(limit, len(whole)) and set(got) <= whole
+        assert sorted(got) == sorted(r["line"] for r in vocab.training_lines(docs.repartition(2).orderBy("text"), limit=limit).collect())
+
+
 def test_reasoning_answers_follow_from_the_premises(spark):
     rows = reasoning.generate(spark, {"train": 160, "validation": 16, "test": 16}).collect()
     assert len({(r["split"], r["example_id"]) for r in rows}) == len(rows)

@@ -71,30 +71,33 @@ def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def ordered(ids: list, data: list[bytes]) -> tuple[list[int], list[tuple[int, int]]]:
+    """(rows in the order of what counts as earlier, the key of each row). A row's rank in this order names it in its part: rows
+    of a part may arrive in another order each time that it is read. Rows of equal keys and texts are interchangeable."""
+    keys = [(BIG, xxhash.xxh64_intdigest(b) >> 1) if i is None else (i, 0) for i, b in zip(ids, data, strict=True)]
+    return sorted(range(len(data)), key=lambda r: (keys[r], data[r])), keys
+
+
 class Part:
     """The distinct texts of a part in order, in one buffer, with their anchors and the strings of each."""
 
     def __init__(self, ids: list, texts: list, length: int = LENGTH):
         self.length = length
         data = [(t or "").encode() for t in texts]
-        ties = [0 if i is not None else xxhash.xxh64_intdigest(b) >> 1 for i, b in zip(ids, data, strict=True)]
-        keys = [(BIG if i is None else i, tie) for i, tie in zip(ids, ties, strict=True)]
-        self.order = sorted(range(len(data)), key=lambda r: (keys[r], data[r]))
-        self.rows, self.data = [], data
-        self.copy_of: dict[int, int] = {}
-        seen: dict[bytes, int] = {}
-        for r in self.order:
-            first = seen.setdefault(data[r], r)
-            if first == r:
-                self.rows.append(r)
-            else:
-                self.copy_of[r] = first
-        sizes = np.array([len(data[r]) for r in self.rows], np.int64)
+        order, keys = ordered(ids, data)
+        rows, ranks, seen = [], [], set()
+        for k, r in enumerate(order):
+            if data[r] not in seen:
+                seen.add(data[r])
+                rows.append(r)
+                ranks.append(k)
+        sizes = np.array([len(data[r]) for r in rows], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.buf = np.frombuffer(b"".join([data[r] for r in self.rows]), np.uint8)
-        self.id = np.array([keys[r][0] for r in self.rows], np.int64)
-        self.tie = np.array([keys[r][1] for r in self.rows], np.int64)
+        self.buf = np.frombuffer(b"".join([data[r] for r in rows]), np.uint8)
+        self.rank = np.array(ranks, np.int32)
+        self.id = np.array([keys[r][0] for r in rows], np.int64)
+        self.tie = np.array([keys[r][1] for r in rows], np.int64)
         self.w = words8(self.buf)
         self._anchors()
 
@@ -161,11 +164,11 @@ def not_first(idx: np.ndarray, run: np.ndarray) -> np.ndarray:
     return idx[np.r_[False, run[1:] == run[:-1]]] if len(idx) else idx
 
 
-def merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct starts of strings as maximal runs (start, end)."""
+def merged(starts: np.ndarray, length: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct starts of strings as maximal runs (start, end) within each text; doc: the text of each start."""
     if not len(starts):
         return starts, starts
-    first = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + length])
+    first = np.flatnonzero(np.r_[True, (starts[1:] > starts[:-1] + length) | (doc[1:] != doc[:-1])])
     return starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]] + length
 
 
@@ -202,10 +205,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         at, _ = p.places(np.flatnonzero(n[back] > 1))
         later = np.sort(at[not_first(*equal_runs(p.w, at, length))])
         out: list[tuple] = []
-        a, b = merged(later, length)
+        a, b = merged(later, length, np.searchsorted(p.ends, later, side="right"))
         doc = np.searchsorted(p.ends, a, side="right")
         part, blank = key[0].as_py(), b""
-        out.append((part % len_buckets, part, 0, blank, blank, np.array(p.rows, np.int32)[doc].tobytes(), (a - p.starts[doc]).tobytes(), (b - a).tobytes(), blank))
+        out.append((part % len_buckets, part, 0, blank, blank, p.rank[doc].tobytes(), (a - p.starts[doc]).tobytes(), (b - a).tobytes(), blank))
         # the first in this part of each string: runs of such places under one shared anchor go on with their surroundings
         pick = np.flatnonzero(np.isin(p.gram, shared))
         at, of = p.places(pick)
@@ -223,7 +226,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 i = order[at_b]
                 k = doc[i]
                 out.append((
-                    int(b), part, 1, p.id[k].tobytes(), p.tie[k].tobytes(), np.array(p.rows, np.int32)[k].tobytes(), (start[i] - p.starts[k]).tobytes(), size[i].tobytes(),
+                    int(b), part, 1, p.id[k].tobytes(), p.tie[k].tobytes(), p.rank[k].tobytes(), (start[i] - p.starts[k]).tobytes(), size[i].tobytes(),
                     b"".join([p.buf[x : x + y].tobytes() for x, y in zip(start[i].tolist(), size[i].tolist(), strict=True)]),
                 ))
         return pa.table({c.split()[0]: pa.array([r[i] for r in out], pa.int32() if c.endswith("int") else pa.binary()) for i, c in enumerate(SENT.split(", "))})
@@ -271,13 +274,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], start[order] + size[order]
         edges = np.searchsorted(row, np.arange(len(data) + 1))
-        copies = copies_of(ids, data)
+        by_rank, _ = ordered(ids, data)
+        copies = copies_of(by_rank, data)
+        rank = np.empty(len(data), np.int64)
+        rank[by_rank] = np.arange(len(data))
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "spans")}
         for r, b in enumerate(data):
             if r in copies and len(b) >= length:
                 spans = [(0, len(b))]
             else:
-                spans = union(start[edges[r] : edges[r + 1]].tolist(), end[edges[r] : edges[r + 1]].tolist())
+                mine = slice(edges[rank[r]], edges[rank[r] + 1])
+                spans = union(start[mine].tolist(), end[mine].tolist())
             kept, at = [], 0
             for x, y in spans:
                 kept.append(b[at:x])
@@ -308,12 +315,11 @@ def _runs(a: np.ndarray) -> tuple[list, list]:
     return a[head].tolist(), [slice(x, y) for x, y in zip(head.tolist(), ends, strict=True)]
 
 
-def copies_of(ids: list, data: list[bytes]) -> set[int]:
+def copies_of(order: list[int], data: list[bytes]) -> set[int]:
     """Rows whose text an earlier row of the part has."""
-    key = lambda r: (BIG if ids[r] is None else ids[r], 0 if ids[r] is not None else xxhash.xxh64_intdigest(data[r]) >> 1, data[r])
     seen: set[bytes] = set()
     out = set()
-    for r in sorted(range(len(data)), key=key):
+    for r in order:
         if data[r] in seen:
             out.add(r)
         seen.add(data[r])

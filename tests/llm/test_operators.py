@@ -203,6 +203,29 @@ def test_suffix_dedup(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["id"]], r["id"]
 
 
+def test_suffix_dedup_of_rows_that_arrive_in_another_order_each_time(spark):
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(6)]
+    some = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(90))) + rng.choice(passages) + "q" * rng.randrange(60)) for i in range(120)]
+    want = {(i, *x) for i, x in removed(some, 100).items()}
+    some += [(None, passages[0] + "v" * 20), (None, passages[1] + "w" * 30), *some[:5]]  # after all others; copies of texts
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(random.SystemRandom().sample(range(batch.num_rows), batch.num_rows))
+
+    d = spark.createDataFrame(some, "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # every read of a part is made anew
+    try:
+        got = [(r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_substrings(d).collect()]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert want <= set(got)
+    assert sorted(r[1:] for r in got if r[0] is None) == [(170, 150, 1, b"v" * 20), (180, 150, 1, b"w" * 30)]
+    assert sorted(r for r in got if r not in want and r[0] is not None) == sorted((i, len(t), len(t), 1, b"") for i, t in some[:5])
+
+
 def test_lines(spark):
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\x0b\x0c\r"))
     docs = {x[0]: (x[1] or "").split("\n") for x in rows()}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +46,41 @@ def train_bpe(words: DataFrame, size: int, coverage: float = 0.9995) -> list[str
     """Pieces by id: specials, 256 bytes, merged pieces in order of merging, single characters.
 
     words: (word, n). Merges are learned on all words; ties go to the smaller pair. The trainer is sequential by nature and
-    holds the distinct words on the driver, a number and a weight a character (12 bytes, some times that while it merges).
+    holds the distinct words on the driver, a number of 2 or 4 bytes a character (some times that while it merges); words are
+    in the order of their frequency, so that only the places where it changes are kept.
     """
     t = words.select("word", F.col("n").cast("long").alias("n")).toArrow()
+    t = t.take(np.argsort(t["n"].to_numpy(), kind="stable"))
     end = "\ud800"  # never in a text
-    code = np.frombuffer("".join([f"{MARK}{w}{end}" for w in t["word"].to_pylist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    at_end = code == ord(end)
-    weight = t["n"].to_numpy()[np.cumsum(at_end) - at_end]
+
+    def codes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, t.num_rows, 100_000):
+            part = t.slice(lo, 100_000)
+            code = np.frombuffer("".join([f"{MARK}{w}{end}" for w in part["word"].to_pylist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            at_end = code == ord(end)
+            yield code, np.where(at_end, 0, part["n"].to_numpy()[np.minimum(np.cumsum(at_end), part.num_rows - 1)])
+
     count = np.zeros(0x110000, np.int64)
-    np.add.at(count, code[~at_end], weight[~at_end])
+    for code, n in codes():
+        np.add.at(count, code, n)
     total, seen, alphabet = int(count.sum()), 0, []
     for c in sorted(np.flatnonzero(count).tolist(), key=lambda c: (-count[c], c)):
         if seen >= coverage * total:
             break
         alphabet.append(chr(c))
         seen += int(count[c])
-    number = np.full(0x110000, -1, np.int32)
+    kind = np.int16 if max(size, len(alphabet)) < 1 << 15 else np.int32
+    number = np.full(0x110000, -1, kind)
     number[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
-    symbols = number[code]  # -1: an end or an unknown character
+    ends = np.cumsum(pc.utf8_length(t["word"]).to_numpy().astype(np.int64) + 2)
+    symbols = np.empty(ends[-1] if len(ends) else 0, kind)  # -1: an end or an unknown character
+    at = 0
+    for code, _ in codes():
+        symbols[at : at + len(code)] = number[code]
+        at += len(code)
+    weight, first = np.unique(t["n"].to_numpy(), return_index=True)
+    starts = np.r_[0, ends][first]  # where words of each weight begin
+    del t, ends
     texts = list(alphabet)
     ids = {c: i for i, c in enumerate(texts)}
     pairs: Counter = Counter()
@@ -73,7 +91,7 @@ def train_bpe(words: DataFrame, size: int, coverage: float = 0.9995) -> list[str
         slots = slots[(symbols[slots] >= 0) & (symbols[slots + 1] >= 0)]
         keys, of = np.unique(symbols[slots].astype(np.int64) << 32 | symbols[slots + 1], return_inverse=True)
         sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, of, weight[slots])
+        np.add.at(sums, of, weight[np.searchsorted(starts, slots, side="right") - 1])
         for k, n in zip(keys.tolist(), sums.tolist(), strict=True):
             p = (k >> 32, k & 0xFFFFFFFF)
             pairs[p] += sign * n
@@ -100,7 +118,7 @@ def train_bpe(words: DataFrame, size: int, coverage: float = 0.9995) -> list[str
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols[at] = new
-        symbols, weight = symbols[stay], weight[stay]
+        symbols, starts = symbols[stay], starts - np.searchsorted(at + 1, starts)
         at = at - np.arange(len(at))
         add(np.unique(np.concatenate([at - 1, at])), 1)
     return [*SPECIALS, *(f"<0x{b:02X}>" for b in range(256)), *dict.fromkeys([*merges, *alphabet])]

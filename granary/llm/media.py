@@ -3,10 +3,12 @@
 ``write_media`` stores bytes as 8-bit samples in one track: frames of ``frame`` samples, each a table entry, every
 ``sync``-th a sync frame. ``read_media`` walks the nested boxes (32- and 64-bit sizes, size 0: to the end), joins the
 sample tables (stsz, stsc, stco or co64, stts, stss) and gives codec, duration, and the byte ranges of the
-samples and keyframes. Files of other writers with several tracks are read too: the first track counts.
+samples and keyframes. Tables are gathered track by track, so those of one track never meet another's: ``read_media`` gives
+the first track that can be read, ``read_tracks`` all. Fragmented files (moof, trun) keep their samples in other tables and have none here.
 
 Defined results: null bytes are the empty payload, padded with zero bytes to one unit of 64 (always a
-positive multiple). A file that breaks off or lacks a table gives null codec and no ranges, never an exception.
+positive multiple). A file that breaks off, nests deeper than ``DEPTH``, lacks a table or has one that claims more entries than
+its box holds, or keyframes that are no samples, gives null codec and no ranges, never an exception.
 Each row is handled by itself; equal texts give equal values. Extra columns are not read.
 """
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 UNIT, FRAME, SYNC, RATE = 64, 64, 16, 8000
+#: moov, trak, mdia, minf, stbl and a box in it are six; nothing known needs more than a few others around them.
+DEPTH = 16
 #: Boxes that hold only boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -103,45 +107,70 @@ def walk(data: memoryview, lo: int, hi: int, path: tuple = ()) -> Iterator[tuple
         if size and size < head or end > hi:
             return
         yield (*path, kind), lo + head, end
-        if kind in NESTED:
+        if kind in NESTED and len(path) < DEPTH:
             yield from walk(data, lo + head, end, (*path, kind))
         lo = end
 
 
 def read_media(data: bytes) -> Media:
-    try:
-        return _read(memoryview(data))
-    except (KeyError, struct.error, ValueError, IndexError):
-        return Media()
-
-
-def _read(data: memoryview) -> Media:
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data, 0, len(data)):
-        found.setdefault(path[-1], (a, b))  # of several tracks the first
-    u32 = lambda kind, skip, n=-1: np.frombuffer(data[found[kind][0] + skip : found[kind][1]], ">u4", n).astype(np.int64)
-    a, _ = found[b"mdhd"]
-    timescale = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
-    codec = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-    fixed, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    sizes = np.full(n, fixed, np.int64) if fixed else u32(b"stsz", 12, n)
-    n_stts = int(u32(b"stts", 4, 1)[0])
-    stts = u32(b"stts", 8, 2 * n_stts).reshape(-1, 2)
-    if b"co64" in found:
-        chunks = np.frombuffer(data[found[b"co64"][0] + 8 : found[b"co64"][1]], ">u8", int(u32(b"co64", 4, 1)[0])).astype(np.int64)
-    else:
-        chunks = u32(b"stco", 8, int(u32(b"stco", 4, 1)[0]))
-    runs = u32(b"stsc", 8, 3 * int(u32(b"stsc", 4, 1)[0])).reshape(-1, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1]))
-    if per_chunk.sum() != n:
+    """The first track that can be read."""
+    return next(iter(read_tracks(data)), Media())
+
+
+def read_tracks(data: bytes) -> list[Media]:
+    """The tracks that can be read, in order."""
+    view = memoryview(data)
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for path, a, b in walk(view, 0, len(view)):
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif b"trak" in path:
+            tracks[-1].setdefault(path[-1], (a, b))
+    out = []
+    for found in tracks:
+        try:
+            out.append(_read(view, found))
+        except (KeyError, struct.error, ValueError, IndexError):
+            continue
+    return out
+
+
+def _read(data: memoryview, found: dict[bytes, tuple[int, int]]) -> Media:
+    def numbers(kind: bytes, skip: int, n: int, each: str = ">u4") -> np.ndarray:
+        lo, hi = found[kind]
+        if n < 0 or lo + skip + n * np.dtype(each).itemsize > hi:
+            raise ValueError("a table ends before its entries")
+        return np.frombuffer(data[lo + skip : hi], each, n).astype(np.int64)
+
+    def table_of(kind: bytes, width: int = 1, each: str = ">u4") -> np.ndarray:
+        return numbers(kind, 8, width * int(numbers(kind, 4, 1)[0]), each)
+
+    a, b = found[b"mdhd"]
+    at = a + (20 if data[a:b] and data[a] == 1 else 12)
+    if at + 4 > b:
+        raise ValueError("mdhd is short")
+    timescale = struct.unpack_from(">I", data, at)[0]
+    codec = struct.pack(">I", int(numbers(b"stsd", 12, 1)[0])).decode("latin-1")
+    fixed, n = numbers(b"stsz", 4, 2).tolist()
+    if fixed and fixed * n > len(data):
+        raise ValueError("the file breaks off")
+    sizes = np.full(n, fixed, np.int64) if fixed else numbers(b"stsz", 12, n)
+    stts = table_of(b"stts", 2).reshape(-1, 2)
+    chunks = table_of(b"co64", 1, ">u8") if b"co64" in found else table_of(b"stco")
+    runs = table_of(b"stsc", 3).reshape(-1, 3)
+    spans = np.diff(np.r_[runs[:, 0], len(chunks) + 1])
+    if len(runs) and (runs[0, 0] != 1 or (spans < 0).any()) or int((spans * runs[:, 1]).sum()) != n or stts[:, 0].sum() != n:
         raise ValueError("sample tables disagree")
+    per_chunk = np.repeat(runs[:, 1], spans)
     of = np.repeat(np.arange(len(chunks)), per_chunk)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
     offsets = chunks[of] + before - before[first[of]]
-    if n and int((offsets + sizes).max()) > len(data):
+    if n and (int((offsets + sizes).max()) > len(data) or int(offsets.min()) < 0):
         raise ValueError("the file breaks off")
-    keys = u32(b"stss", 8, int(u32(b"stss", 4, 1)[0])) - 1 if b"stss" in found else np.arange(n)
+    keys = table_of(b"stss") - 1 if b"stss" in found else np.arange(n)
+    if len(keys) and not (0 <= keys.min() and keys.max() < n):
+        raise ValueError("a keyframe is no sample")
     return Media(codec, timescale, float((stts[:, 0] * stts[:, 1]).sum() / timescale) if timescale else 0.0, offsets, sizes, keys)
 
 
@@ -150,7 +179,7 @@ def feature(m: Media) -> str:
     return f"{m.codec};duration={m.duration:.6f};samples={len(m.sizes)};keyframes={len(m.keys)};ranges={hashlib.md5(ranges).hexdigest()}"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", bytes_col: str = "media", keep: bool = True) -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", bytes_col: str = "media") -> DataFrame:
     """(id, codec, duration, n_samples, keyframes array<struct<offset, length>>) of a binary column of media files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

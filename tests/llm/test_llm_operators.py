@@ -259,6 +259,56 @@ def test_media_of_broken_and_foreign_files():
     assert media.read_media(to_end).payload(to_end) == b"x" * 640
 
 
+def test_media_of_hostile_and_several_tracks(spark):
+    B, struct_ = media.box, media.struct
+    whole = media.write_media(b"x" * 640)
+    moov_at, mdat_at = whole.index(b"moov") - 4, whole.index(b"mdat") - 4
+    trak_at = whole.index(b"trak") - 4
+    trak = whole[trak_at:mdat_at]
+    nested = b""
+    for _ in range(3000):
+        nested = B(b"moov", nested)
+    assert media.read_media(nested).codec is None and media.read_media(B(b"moov", nested, trak) + whole).codec == "raw "
+    stss = whole.index(b"stss")
+    for value in (0, 11, 0xFFFFFFFF):
+        bad = bytearray(whole)
+        bad[stss + 12 : stss + 16] = struct_.pack(">I", value)
+        assert media.read_media(bytes(bad)).codec is None
+    for kind in (b"stss", b"stsc", b"stco", b"stts"):
+        bad = bytearray(whole)
+        at = bad.index(kind) + 8
+        bad[at : at + 4] = struct_.pack(">I", 0x7FFFFFFF)
+        assert media.read_media(bytes(bad)).codec is None, kind
+    # a track without a table of keyframes, then one with: each has its own
+    plain = trak.replace(b"stss", b"free")
+    both = whole[:moov_at] + B(b"moov", whole[moov_at + 8 : trak_at], plain, trak)
+    shift = len(both) + 8 - mdat_at - 8
+    both = both.replace(struct_.pack(">II", 1, mdat_at + 8), struct_.pack(">II", 1, mdat_at + 8 + shift)) + whole[mdat_at:]
+    tracks = media.read_tracks(both)
+    assert [m.keys.tolist() for m in tracks] == [list(range(10)), [0]] and all(m.payload(both) == b"x" * 640 for m in tracks)
+    rng = random.Random(12)
+    broken = [bytes(b ^ (rng.random() < 0.02) * rng.randrange(256) for b in whole) for _ in range(400)] + [nested, whole[: len(whole) // 2], b"", both]
+    got = media.media_columns(spark.createDataFrame(list(enumerate(broken)), "doc_id int, media binary")).collect()
+    assert len(got) == len(broken)
+
+
+def test_media_values_by_their_definition(spark):
+    """feature and media_sha256 of op 6 from a file taken apart by hand."""
+    d = spark.createDataFrame([(1, "añ" * 700), (2, "añ" * 700), (3, None), (4, "")], "doc_id int, text string")
+    got = {r["id"]: r for r in media.store_texts(d, digest=False).collect()}
+    for i, t in ((1, "añ" * 700), (3, "")):
+        f = bytes(got[i]["media"])
+        want = media.padded(t.encode())
+        start, n = f.index(b"mdat") + 4, len(want) // 64
+        assert f[start : start + len(want)] == want and len(f) == start + len(want)
+        keys = range(0, n, media.SYNC)
+        ranges = b"".join(media.struct.pack(">qq", start + 64 * k, 64) for k in keys)
+        assert got[i]["feature"] == f"raw ;duration={len(want) / 8000:.6f};samples={n};keyframes={len(keys)};ranges={hashlib.md5(ranges).hexdigest()}"
+        assert got[i]["media_sha256"] == hashlib.sha256(f).hexdigest() and got[i]["media_bytes"] == len(f)
+    same = ("payload_sha256", "media_sha256", "feature", "tail_crc32")
+    assert all(got[1][c] == got[2][c] and got[3][c] == got[4][c] for c in same)
+
+
 def test_toxicity_learns_rare_forms(spark):
     rng = random.Random(4)
     good = ["ba", "du", "ke", "lo", "mi", "na", "po", "ri"]
@@ -277,6 +327,87 @@ def test_toxicity_learns_rare_forms(spark):
     assert toxicity.learn(d.where("toxic = 0")) is None
 
 
+def kneser_ney(docs, y):
+    """P(x | h) of class y by the definition, recursively, from (words, class) of documents."""
+    long, share, discount = toxicity.LONG, toxicity.SHARED, toxicity.DISCOUNT
+
+    def counts(classes):
+        c = Counter()
+        for words, k in docs:
+            if k in classes:
+                for s in (f"^{w}$" for w in set(words)):
+                    c.update(s[j - k : j + 1] for j in range(1, len(s)) for k in range(min(j, long) + 1))
+        return c
+
+    own, both = counts({y}), counts({0, 1})
+
+    def value(c, g):
+        return c[g] if len(g) > long or g[0] == "^" else len({x[0] for x in c if x[1:] == g})
+
+    def p(h, x):
+        c, d = (own, discount) if len(h) >= share else (both, 0.75)
+        low = p(h[1:], x) if h else 1 / 300
+        v = {z[-1]: value(c, z) for z in c if z[:-1] == h}
+        return (max(v.get(x, 0) - d, 0) + d * len(v) * low) / sum(v.values()) if v else low
+
+    return p
+
+
+def test_toxicity_is_kneser_ney(spark):
+    docs = [(["abba", "cab", "abba"], 0), (["bad", "cab"], 1), (["dab", "abacad"], 0), (["badge", "bad", "dada"], 1)]
+    d = spark.createDataFrame([(" ".join(w), y) for w, y in docs], "text string, toxic int")
+    model = toxicity.fit_model([tuple(r) for r in toxicity.count_grams(d).collect()])
+    p = [kneser_ney(docs, y) for y in (0, 1)]
+
+    def ratio(w):
+        s = f"^{w}$"
+        return [math.log(p[1](s[max(0, j - toxicity.LONG) : j], s[j]) / p[0](s[max(0, j - toxicity.LONG) : j], s[j])) for j in range(1, len(s))]
+
+    for w in ("bad", "cab", "abba", "badger", "zz", "dabad", "ab"):
+        assert list(model.characters(w)) == pytest.approx(ratio(w), abs=1e-9), w
+    words = "bad cab cab zz.".split()
+    each = [ratio(w.strip(".")) for w in words]
+    want = max(sum(r) / len(r) for r in each) + sum(map(sum, each)) / sum(map(len, each))
+    assert model.evidence(" ".join(words)) == pytest.approx(want)
+
+
+def test_toxicity_query_equals_its_parts_and_learns_from_training_labels_only(spark, tmp_path):
+    rng = random.Random(7)
+    good = ["ba", "du", "ke", "lo", "mi", "na"]
+    some, labels = [], []
+    for i in range(300):
+        w = ["".join(rng.choice(good) for _ in range(rng.randrange(1, 4))) for _ in range(40)]
+        y = int(i % 3 == 0)
+        some.append((i, " ".join([*w, *["vexquz" + rng.choice(good)] * y]), y))
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        labels.append((i, 1 - y if held else y))  # held-out labels would mislead
+    some += [(None, None, 0), (None, "", 0), (1, "", 0), (2, some[2][1], 0)]
+    labels += [(None, 1), (999, 1), (5, None), (7, 7)]
+    d = spark.createDataFrame(some, "doc_id long, text string, n int")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op7_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(some)
+    truth = {i: y for i, t, y in some if t}
+    right = 0
+    for r in got:
+        i = r["doc_id"]
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        right += r["predicted"] == truth.get(i, 0)
+    assert right >= len(got) - 6
+    blank = {r["score"] for r in got if r["doc_id"] is None}
+    assert len(blank) == 1  # null and empty texts alike
+
+
+def test_toxicity_bounds_its_counts(spark):
+    some = [(i, f"word{i}x{i * i} tox{i}" if i % 2 else f"plain{i}y{i * i}", i % 2) for i in range(64)]
+    d = spark.createDataFrame(some, "place int, text string, toxic int")
+    every = toxicity.bounded_counts(d, 64, 10**6)
+    half = toxicity.bounded_counts(d, 64, len(every) - 1)
+    assert len(half) < len(every) and {g for g, _, _ in half} == {g for i, t, _ in some[:32] for w in t.split() for g in toxicity.grams(w)}
+
+
 @pytest.mark.parametrize("glue", ["-", "_", "/", "", "、"])
 @pytest.mark.parametrize("glued_labels", [False, True])
 def test_toxicity_in_long_tokens(spark, glue, glued_labels):

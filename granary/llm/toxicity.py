@@ -1,22 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of an expression's characters, one of toxic and one of ordinary documents, are interpolated with absolute
-discounts over contexts of 2 to 5 characters; below that both share one backoff model of pooled counts. Where neither
-class knows a context the two likelihoods are equal, so a rare ordinary word says little, while an unseen form
-of a known toxic word is still recognised by its characters. A document counts once for each distinct word.
-
-The length-normalised log-likelihoods (per character) are compared for every word of the whole text; the document's evidence
-is its most toxic expression, so neither long nor short texts drown it. A token of more than ``WHOLE`` characters is parted
-at punctuation and symbols; a part that is still longer (scripts without spaces) would drown what it holds, so it counts as
-the most toxic of its stretches of ``STRETCH`` characters, which keep those before them as context. A logistic curve
-fitted on labelled rows apart from those that made the counts turns evidence into a score.
-
-Fit: a bounded sample of labelled training rows (``fit_rows`` + ``tune_rows``, the first by a hash of the id), as labels
-are few and the model is then small enough to broadcast at any size of corpus (proven bound: the characters n-grams
-of that many documents, ``MAX_GRAMS``). Every document is scored over all its words.
-
-Defined results: null or empty text has no evidence (score of the curve at 0). Labels of unknown or null ids, and null
-labels, are not used; without labels of both classes every score is 0.0. Extra columns are not read; each row is scored.
+discounts over contexts of 2 to 5 characters. The longest order has the documents' counts, every lower one continuation counts:
+before how many different characters an n-gram stands (n-grams that begin a word have none before them and keep their counts).
+Below 2 characters both share one backoff model of the pooled continuation counts. Where neither class knows a context the two
+likelihoods are equal, so a rare ordinary word says little, while an unseen form of a known toxic word is still recognised
+by its characters. A document counts once for each distinct word.
+
+Length-normalised log-likelihoods (per character) are compared for the whole text and for every expression in it: a document's
+evidence is the text's own difference plus that of its most toxic expression, so a single one isn't drowned in a long text.
+A token of more than ``WHOLE`` characters is parted at punctuation and symbols; a part that is still longer (scripts without
+spaces) would drown what it holds, so as an expression it counts as the most toxic of its stretches of ``STRETCH`` characters,
+which keep those before them as context. A logistic curve fitted on labelled rows apart from those that made the counts turns
+evidence into a score.
+
+Fit: a bounded sample of labelled training rows (``fit_rows`` + ``tune_rows``, the first by a hash of the id), drawn from the
+labels alone; only these rows' texts move. The n-grams are counted on the workers. Where they are more than ``MAX_GRAMS``, the
+later half of the fit rows is left out, and so on until they fit, before anything comes to the driver or is broadcast.
+Every document is scored over all its words.
+
+Defined results: null or empty text has no evidence (score of the curve at 0). Null labels and labels of null ids are not
+used, those of unknown ids find no text; an id with several labels has the largest. Without labels of both classes every score
+is 0.0. Extra columns are not read; each row is scored, repeated ones alike.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import table
+from .common import cut, table
 
 LONG, SHARED, DISCOUNT = 5, 2, 0.9
 MAX_GRAMS = 4_000_000
@@ -63,18 +69,22 @@ class Model:
 
     def __init__(self, ratio: dict[str, float], backoff: dict[str, float]):
         self.ratio, self.backoff = ratio, backoff
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, int, float]] = {}
 
-    def word(self, w: str) -> float:
-        """Per character of the word, or of the most toxic part of a long one."""
+    def word(self, w: str) -> tuple[float, int, float]:
+        """(sum, characters with the end, the most toxic part's difference per character)."""
+        sums = [0.0, *accumulate(self.characters(w))]
         if len(w) > WHOLE:
-            sums = [0.0, *accumulate(self.characters(w))]
-            return max(y - x for x, y in zip(sums, sums[STRETCH:], strict=False)) / STRETCH
-        got = self.known.get(w)
+            return sums[-1], len(w) + 1, max(y - x for x, y in zip(sums, sums[STRETCH:], strict=False)) / STRETCH
+        return sums[-1], len(w) + 1, sums[-1] / (len(w) + 1)
+
+    def token(self, t: str) -> tuple[float, int, float]:
+        got = self.known.get(t)
         if got is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            got = self.known[w] = sum(self.characters(w)) / (len(w) + 1)
+            each = [self.word(w) for w in expressions(t)]
+            got = self.known[t] = (sum(x[0] for x in each), sum(x[1] for x in each), max((x[2] for x in each), default=-math.inf))
         return got
 
     def characters(self, w: str) -> Iterator[float]:
@@ -91,37 +101,57 @@ class Model:
             yield total
 
     def evidence(self, text: str | None) -> float:
-        return max(map(self.word, set(expressions(text))), default=0.0)
+        total, n, worst = 0.0, 0, -math.inf
+        for t, c in Counter((text or "").lower().split()).items():
+            x, m, w = self.token(t)
+            total += c * x
+            n += c * m
+            if w > worst:
+                worst = w
+        return worst + total / n if n else 0.0
 
 
 def fit_model(counts: list[tuple[str, int, int]]) -> Model:
-    """counts: (n-gram, ordinary documents, toxic documents)."""
-    by = [{g: c for g, c, _ in counts if c}, {g: c for g, _, c in counts if c}]
+    """counts: (n-gram, ordinary documents, toxic documents) of all n-grams of up to LONG + 1 characters."""
+    # of each n-gram below the longest order: before how many different characters it stands, in each class and in either
+    after: list[Counter] = [Counter(), Counter(), Counter()]
+    for g, a, b in counts:
+        low = g[1:]
+        if low:
+            after[0][low] += a > 0
+            after[1][low] += b > 0
+            after[2][low] += 1
+    by: list[dict[str, int]] = [{}, {}]
     total: list[Counter] = [Counter(), Counter()]
     kinds: list[Counter] = [Counter(), Counter()]
+    pool: dict[str, int] = {}
     pool_total: Counter = Counter()
     pool_kinds: Counter = Counter()
     for g, a, b in counts:
-        h = g[:-1]
+        h, raw = g[:-1], len(g) > LONG or g[0] == "^"
+        if len(g) <= SHARED:
+            pool[g] = a + b if raw else after[2][g]
+            pool_total[h] += pool[g]
+            pool_kinds[h] += 1
+            continue
         for y, c in ((0, a), (1, b)):
+            c = c if raw else after[y][g]
             if c:
+                by[y][g] = c
                 total[y][h] += c
                 kinds[y][h] += 1
-        if len(h) < SHARED:
-            pool_total[h] += a + b
-            pool_kinds[h] += 1
-    pool: dict[str, float] = {}
+    made: dict[str, float] = {}
 
     def shared(h: str, x: str) -> float:
         h = h[max(0, len(h) - SHARED + 1) :]
-        if h + x not in pool:
+        if h + x not in made:
             p = 1 / 300
             for k in range(len(h) + 1):
                 c = h[len(h) - k :]
                 if n := pool_total[c]:
-                    p = (max(by[0].get(c + x, 0) + by[1].get(c + x, 0) - 0.75, 0) + 0.75 * pool_kinds[c] * p) / n
-            pool[h + x] = p
-        return pool[h + x]
+                    p = (max(pool.get(c + x, 0) - 0.75, 0) + 0.75 * pool_kinds[c] * p) / n
+            made[h + x] = p
+        return made[h + x]
 
     likely: list[dict[str, float]] = [{}, {}]
     ratio: dict[str, float] = {}
@@ -137,25 +167,25 @@ def fit_model(counts: list[tuple[str, int, int]]) -> Model:
             both.append(p)
         ratio[g] = math.log(both[1] / both[0])
     weight = lambda y, h: DISCOUNT * kinds[y][h] / total[y][h] if total[y].get(h) else 1.0
-    contexts = {h for y in (0, 1) for h in total[y] if len(h) >= SHARED}
+    contexts = {h for y in (0, 1) for h in total[y]}
     return Model(ratio, {h: math.log(weight(1, h) / weight(0, h)) for h in contexts})
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(y = 1 | x), classes weighed alike, by damped Newton steps with a weak prior on the slope."""
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    """Slope and offset of P(y = 1 | x), by damped Newton steps with a weak prior on the slope. Rows weigh alike, so 0.5 is where both
+    labels are as frequent, and rare toxic rows don't cost ordinary ones."""
     scale = x.std() or 1.0
     z = np.stack([(x - x.mean()) / scale, np.ones(len(x))], 1)
     b, prior = np.zeros(2), np.diag([0.5, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + prior, z.T @ (w * (y - p)) - prior @ b)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + prior, z.T @ (y - p) - prior @ b)
         b = b + np.clip(step, -2, 2)
     return b[0] / scale, b[1] - b[0] * x.mean() / scale
 
 
-def count_grams(docs: DataFrame) -> list[tuple[str, int, int]]:
-    """docs: (text, toxic). Counts are summed on the workers; what comes to the driver is bounded by the sample."""
+def count_grams(docs: DataFrame) -> DataFrame:
+    """docs: (text, toxic). (g, a, b): in how many words of ordinary and of toxic documents each n-gram stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,26 +202,42 @@ def count_grams(docs: DataFrame) -> list[tuple[str, int, int]]:
                 some = every[lo : lo + 50_000]
                 yield pa.RecordBatch.from_pydict({"g": pa.array(some), "a": pa.array([sums[0][g] for g in some], pa.int64()), "b": pa.array([sums[1][g] for g in some], pa.int64())})
 
-    found = docs.select("text", F.col("toxic").cast("int")).mapInArrow(run, "g string, a long, b long").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    got = found.toArrow()
-    if got.num_rows > MAX_GRAMS:
-        raise ValueError(f"{got.num_rows} n-grams: lower fit_rows")
-    return list(zip(got["g"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    found = docs.select("text", F.col("toxic").cast("int")).mapInArrow(run, "g string, a long, b long")
+    return found.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
 
+def bounded_counts(rows: DataFrame, fit_rows: int, max_grams: int) -> list[tuple[str, int, int]]:
+    """rows: (place, text, toxic). The n-grams of the rows placed first, of as many halvings of them as the bound asks for."""
+    while True:
+        found = cut(count_grams(rows.where(F.col("place") < fit_rows)))
+        if found.count() <= max_grams:
+            got = found.toArrow()
+            return list(zip(got["g"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        fit_rows //= 2
 
-def learn(labelled: DataFrame, fit_rows: int = 4000, tune_rows: int = 2000) -> tuple[Model, float, float] | None:
+
+def learn(labelled: DataFrame, fit_rows: int = 4000, tune_rows: int = 2000, max_grams: int = MAX_GRAMS) -> tuple[Model, float, float] | None:
     """labelled: (doc_id, text, toxic), training rows only. None without rows of both classes."""
-    ranked = labelled.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    return learn_from(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"), fit_rows, tune_rows, max_grams)
+
+
+def learn_from(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, tune_rows: int = 2000, max_grams: int = MAX_GRAMS) -> tuple[Model, float, float] | None:
+    """docs: (doc_id, text), labels: (doc_id, toxic). Of the labels in the order of their hash, a seeded share tunes the curve."""
+    every = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("fit"), "doc_id")
-    chosen = ranked.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(fit_rows + tune_rows)
-    chosen = chosen.withColumn("tune", F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(fit_rows + tune_rows)) < tune_rows)
-    rows = labelled.where("toxic in (0, 1)").join(chosen.select("doc_id", "tune").distinct(), "doc_id")
-    counts = count_grams(rows.where(~F.col("tune")))
+    first = every.select("doc_id", "toxic", order.alias("o")).orderBy("o", "doc_id").limit(fit_rows + tune_rows)
+    tune = F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(fit_rows + tune_rows)) < tune_rows
+    place = F.row_number().over(Window.orderBy("tune", "o", "doc_id")) - 1  # over the sample alone
+    chosen = first.withColumn("tune", tune).withColumn("place", place).drop("o")
+    # fit_rows + tune_rows rows at most: broadcast, so the texts of other documents stay where they are
+    rows = cut(docs.join(F.broadcast(chosen), "doc_id"))
+    counts = bounded_counts(rows.where("not tune"), fit_rows + tune_rows, max_grams)
     if not any(a for _, a, _ in counts) or not any(b for _, _, b in counts):
         return None
     model = fit_model(counts)
-    tune = rows.where("tune").select("text", "toxic").mapInArrow(_evidence(labelled.sparkSession.sparkContext.broadcast((model.ratio, model.backoff))), "x double, y int").toArrow()
-    x, y = tune["x"].to_numpy(), tune["y"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((model.ratio, model.backoff))
+    tuned = rows.where("tune").select("text", "toxic").mapInArrow(_evidence(sent), "x double, y int").toArrow()
+    x, y = tuned["x"].to_numpy(), tuned["y"].to_numpy()
     slope, offset = fit_curve(x, y) if 0 < y.sum() < len(y) else (4.0, -4.0)
     return model, float(slope), float(offset)
 
@@ -234,18 +280,17 @@ def held_out(fold: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == rest, F.lit(False))
 
 
-def labelled_rows(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def learned_on(spark, docs: DataFrame, sf_dir: str) -> tuple[Model, float, float] | None:
+    return learn_from(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score_documents(docs, learn(labelled_rows(spark, docs, sf_dir)))
+    out = score_documents(docs, learned_on(spark, docs, sf_dir))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def not_toxic(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """The documents below the threshold, with their own columns."""
-    scored = score_documents(docs, learn(labelled_rows(spark, docs, sf_dir)))
+    scored = score_documents(docs, learned_on(spark, docs, sf_dir))
     return scored.where(F.col(scored.columns[-1]) < threshold).select(docs.columns)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,30 +104,64 @@ def lm_words(t):
 def test_lm(spark, most):
     r = rows()
     train = [x for x in r if x[0] % 3]
-    got = lm.score(table(spark), F.col("doc_id") % 3 != 0, max_broadcast=most).collect()
-    uni, pair = Counter(), Counter()
+    got = lm.score(table(spark), F.col("doc_id") % 3 != 0, max_broadcast=most, bits=64).collect()  # hardly a false positive
+    uni, pair, triple = Counter(), Counter(), Counter()
     for x in train:
         w = lm_words(x[1])
         uni.update(w)
         pair.update(zip([b"\r", *w], w, strict=False))
+        triple.update(zip([b"\r", *w], w, w[1:], strict=False))
     n, v = sum(uni.values()), len(uni)
+    again = [sum(c for c in k.values() if c > 1) for k in (pair, triple)]
+    go_on = min(0.95, again[1] / again[0])
+    level = lambda c: 2.0 ** (c.bit_length() - 1) if c else 0.0
     by = {x[0]: x[1] for x in r}
-    above, total = [], 0
+    off, total = 0, 0
     for x in got:
         w = lm_words(by[x["id"]])
         base = sum(math.log10((uni[a] + 1) / (n + v + 1)) for a in w)
         score = 0.0
-        for a, b in zip([b"\r", *w], w, strict=False):
-            c = uni[b"\n"] if a == b"\r" else uni[a]
-            q = pair[(a, b)].bit_length()
-            p1 = (uni[b] + 1) / (n + v + 1)
-            score += math.log10(0.2 * min(1, 2 ** (q - 1) / c if q else 0) + 0.8 * p1) if c else math.log10(p1)
+        for i, b in enumerate(w):
+            a = w[i - 1] if i else b"\r"
+            c = uni[a] if i else uni[b"\n"]
+            p = (uni[b] + 1) / (n + v + 1)
+            if c:
+                p = lm.WEIGHT * min(1, level(pair[a, b]) / c) + (1 - lm.WEIGHT) * p
+            before = (w[i - 2] if i > 1 else b"\r", a)
+            if i and pair[before] > 1:
+                k = triple[(*before, b)]
+                p = go_on * (level(k) / level(pair[before]) if k > 1 else 0) + (1 - go_on) * p
+            score += math.log10(p)
         assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(w), sum(uni[a] > 0 for a in w), n)
-        assert math.isclose(x["base_score"], base, rel_tol=1e-9) and x["score"] >= score - 1e-6
-        above.append(x["score"] - score)
-        total += len(w)
-    # a filter errs upwards only, and in some thousandths of its probes
-    assert sum(above) <= 0.02 * total
+        assert math.isclose(x["base_score"], base, rel_tol=1e-9)
+        off += not math.isclose(x["score"], score, rel_tol=1e-9)
+        total += 1
+    assert len(got) == total == len(r) and off <= 2
+
+
+def test_lm_ways_are_equal_and_the_filter_holds_every_count(spark):
+    d = awkward(spark)
+    one, other = (sorted(map(tuple, lm.score(d, F.col("doc_id") % 3 != 0, max_broadcast=most).collect()), key=repr) for most in (1 << 28, 0))
+    assert one == other
+    rng = np.random.default_rng(1)
+    keys = rng.choice(1 << 32, 30_000, replace=False).astype(np.uint32)
+    counts = np.minimum(rng.zipf(1.6, 30_000), 1 << 20)
+    pairs, triples, absent = slice(0, 10_000), slice(10_000, 20_000), slice(20_000, 30_000)
+    block = lm.filter_block((keys[pairs], counts[pairs]), (keys[triples], counts[triples]))
+    f = lm.Filter(block, [len(block)])
+    want = lm.levels(counts)
+    q = f.probe(keys[pairs], 2)
+    assert (q >= want[pairs]).all() and (q > want[pairs]).mean() < 0.02
+    q = f.probe(keys[triples], 3)
+    assert (q[want[triples] > 1] >= want[triples][want[triples] > 1]).all() and (q[want[triples] == 1] > 0).mean() < 0.02
+    assert (f.probe(keys[absent], 2) > 0).mean() < 0.02
+    assert not lm.Filter(b"", [0]).probe(keys[absent], 2).any() and not len(lm.Filter(b"", []).probe(keys[:0], 2))
+
+
+def test_lm_beats_its_base_on_held_out_rows(spark):
+    out = lm.op2_lm(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    better = sum(r["score"] > r["base_score"] for r in out)
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) and better > 0.5 * len(out)
 
 
 def components(sets, percent):
@@ -176,6 +211,19 @@ def test_minhash_of_a_spread_group(spark):
     assert {r["id"]: r["component_id"] for r in got} == want
 
 
+def test_minhash_of_repeated_ids(spark):
+    """An id with several texts is one node: its texts' links meet in it."""
+    rng = random.Random(10)
+    words = lambda k: " ".join(f"{k}{rng.randrange(40)}" for _ in range(60))
+    a, b, c, e = words("a"), words("b"), words("c"), words("e")
+    near = lambda t: t + " more"
+    some = [(0, a), (1, near(a)), (1, b), (5, near(b)), (7, c), (7, c), (8, near(c)), (9, e), (9, ""), (9, None), (None, a), (4, ""), (2, "x y"), (2, "x z")]
+    got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).collect()
+    want = {0: 0, 1: 0, 5: 0, 7: 7, 8: 7, 9: 9, None: None, 4: 4, 2: 2}
+    assert len(got) == len(some) and all(r["component_id"] == want[r["id"]] and r["kept"] == (r["id"] is None or want[r["id"]] == r["id"]) for r in got)
+    assert sorted((r["id"], r["n_shingles"]) for r in got if r["id"] is not None) == sorted((i, len(shingles(t, 5))) for i, t in some if i is not None)
+
+
 def removed(some, length):
     seen, out = set(), {}
     for i, t in sorted(some, key=lambda x: x[0]):
@@ -199,8 +247,11 @@ def test_suffix_dedup(spark):
         some.append((i, "".join(rng.choice("xyz") for _ in range(50)) + passage[a:b] * rng.randrange(1, 3) + "q" * rng.randrange(150)))
     want = removed(some, 100)
     d = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
-    for r in suffix_dedup.dedup_substrings(d).collect():
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["id"]], r["id"]
+    for how in ({}, {"hot": 2, "part_bytes": 2500}):  # the second with passages in many small parts, sorted in pools first
+        got = suffix_dedup.dedup_substrings(d, **how).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["id"]], r["id"]
 
 
 def test_suffix_dedup_of_rows_that_arrive_in_another_order_each_time(spark):

@@ -4,6 +4,8 @@ Lines are exploded, their normalised keys hashed to 128 bits (two independently
 of each hash counted (once a document, so a plain partial count), and the hashes over the threshold joined back to the
 exploded (row, position, hash). Only the positions to drop go to a document's own row, where the rest is put together
 again in order. Frequent keys are pre-aggregated before the shuffle, and what meets at one key is a count, never a list.
+In the join back, keys that hold a ``HEAVY``-th of all lines over the threshold or more (at most ``HEAVY`` keys) are
+broadcast, and their lines are dealt out by row instead of by key: no key brings more than that share to one task.
 
 Defined results: null or empty text is one empty line; a key shorter than ``min_chars`` is never dropped; a
 document that loses all lines gets the empty text (null text stays null when nothing is dropped). Every input row
@@ -15,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table
+from ..operators.skew import heavy_keys, spread_join
+from .common import BLANKS, ascii_lower, cut, table
 
 
 def line_keys(text: Column) -> Column:
@@ -35,12 +38,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("k2", F.xxhash64("t"))
     lines = base.select("k1", "k2", line_keys(F.col("t")).alias("keys"))
     hashes = F.transform("keys", lambda k: F.when(F.char_length(k) >= min_chars, _hash(k)))
-    hot = (
+    counts = (
         lines.select(F.explode(F.array_distinct(hashes)).alias("h")).where("h is not null")
-        .groupBy(F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        .groupBy(F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count(F.lit(1)).alias("n_docs"))
     )
+    hot = cut(counts.where(F.col("n_docs") >= min_docs))
+    total = hot.agg(F.sum("n_docs")).first()[0] or 0
     at = lines.select("k1", "k2", F.posexplode(hashes).alias("pos", "h")).where("h is not null").select("k1", "k2", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    drops = at.join(hot.select("a", "b"), ["a", "b"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
+    met = spread_join(at, hot, ["a", "b"], heavy_keys(hot, "n_docs", total), F.xxhash64("k1", "k2", "pos")).where("n_docs is not null")
+    drops = met.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
     drops = drops.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "drop")
     joined = base.join(drops, F.col("k1").eqNullSafe(F.col("d1")) & (F.col("k2") == F.col("d2")), "left")
     split = F.split("t", "\n")

@@ -5,7 +5,7 @@ circle. Coordinate k of the signature is the least pi over the set, with pi shif
 an element are one contiguous slice of pi, so all coordinates come from one gather and one minimum.
 
 Equal sets are one class first (grouped by 128 bits of the set, a partial minimum of ids, so thousands of copies cost
-one row). Signatures' bands are keys only of classes. Candidates under a key are never paired all with all:
+one row), numbered after they are written down. Signatures' bands are keys only of classes. Candidates under a key are never paired all with all:
 
 1. Shingles that no other candidate has lie in no common part; sets with too many of them can't be similar enough to
    any set under the key, or to larger ones. That rules out most outliers of a large group before any comparison.
@@ -18,8 +18,9 @@ one row). Signatures' bands are keys only of classes. Candidates under a key are
 
 With bands x rows = 42 x 6 a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.85 with 2e-9.
 
-Defined results: a set without words is linked with nothing. Rows with one id are one node; a null id gives a null
-component and the row is kept. n_shingles counts distinct shingles. Extra columns are not read.
+Defined results: a set without words is linked with nothing. Rows with one id are one node: where their texts differ, what
+either is linked with belongs to one component, and each row has its own n_shingles (distinct shingles). A null id links nothing,
+gives a null component and the row is kept. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import heavy_keys, spread_join
 from .common import cut, shuffle_parts, table
 from .graph import components
 from .lm import ranges
@@ -67,7 +69,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, whole: bool = False) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, keys) or, whole, (id, shingles)."""
+    """(id, n_shingles, set_a, set_b, keys) or, whole, (id, set_a, set_b, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -75,19 +77,19 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 found = [shingle_set(word_hashes(x, known), n) for x in part.column(1).to_pylist()]
-                if whole:
-                    yield pa.RecordBatch.from_pydict({"id": part.column(0), "shingles": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
-                    continue
                 both = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in found]
                 sign = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+                of = {"set_a": pa.array([sign(x >> 64) for x in both], pa.int64()), "set_b": pa.array([sign(x & (1 << 64) - 1) for x in both], pa.int64())}
+                if whole:
+                    yield pa.RecordBatch.from_pydict({"id": part.column(0), **of, "shingles": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
+                    continue
                 yield pa.RecordBatch.from_pydict({
-                    "id": part.column(0), "n_shingles": pa.array([len(s) for s in found], pa.int64()),
-                    "set_a": pa.array([sign(x >> 64) for x in both], pa.int64()), "set_b": pa.array([sign(x & (1 << 64) - 1) for x in both], pa.int64()),
+                    "id": part.column(0), "n_shingles": pa.array([len(s) for s in found], pa.int64()), **of,
                     "keys": pa.array([band_keys(signature(s, bands * rows), bands, rows) if len(s) else None for s in found], pa.list_(pa.int64())),
                 })
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, " + ("shingles array<long>" if whole else "n_shingles long, set_a long, set_b long, keys array<long>")
+    schema = f"id {kind}, " + ("set_a long, set_b long, shingles array<long>" if whole else "n_shingles long, set_a long, set_b long, keys array<long>")
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
@@ -104,8 +106,8 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def class_components(cand: DataFrame, sizes: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """cand: (key, id) of classes under keys that several share. Returns (id, comp) of the linked ones."""
+def class_links(cand: DataFrame, sizes: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """cand: (key, id) of classes under keys that several share. Returns (a, b): links that join all linked ones."""
     # a common part holds none of a set's lone shingles, so no set larger than most can be similar enough to it
     most = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("lone")) / percent - F.col("n") + 1e-6)
     facts = sizes.select("id", F.col("n_shingles").alias("n")).join(lone_shingles(shingles), "id").withColumn("most", most)
@@ -127,7 +129,7 @@ def class_components(cand: DataFrame, sizes: DataFrame, shingles: DataFrame, per
     members = state.join(first.select("key", "pivot"), "key").select("pivot", "id", "n", "most", "comp").distinct()
     rest = cut(unmet_pairs(members, shingles, possible, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     new = cut(_verified(rest, shingles, percent).where("linked"))
-    return comps if new.isEmpty() else components(links.select("a", "b").union(new.select("a", "b")))
+    return links.select("a", "b").union(new.select("a", "b"))
 
 
 def unmet_pairs(members: DataFrame, shingles: DataFrame, possible: Callable[[str, str], Column], percent: int) -> DataFrame:
@@ -197,21 +199,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = cut(sets(docs, "id", "text", n, bands, rows))
     full = found.where("id is not null and n_shingles > 0")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    reps = full.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("id = rep").select("id", "n_shingles", "set_a", "set_b", "keys")
-    reps = reps.dropDuplicates(["set_a", "set_b"])
-    keyed = reps.select("id", F.explode("keys").alias("key"))
+    classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    keyed = classes.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     cand = cut(keyed.join(shared, "key"))
-    wanted = cand.select("id").distinct()
+    names = classes.select("node", "rep", "set_a", "set_b")
+    wanted = names.join(cand.select(F.col("id").alias("node")).distinct(), "node")
     # a row of the class's own set: rows of one id may differ in text
-    shingles = cut(sets(docs.join(wanted, "id"), "id", "text", n, bands, rows, whole=True).dropDuplicates(["id"]))
-    comps = class_components(cand, reps.select("id", "n_shingles"), shingles, percent)
-    by_class = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
-    out = found.select("id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b"], "left")
+    texts = docs.join(wanted.select(F.col("rep").alias("id")).distinct(), "id")
+    shingles = sets(texts, "id", "text", n, bands, rows, whole=True).join(wanted.select("node", "set_a", "set_b"), ["set_a", "set_b"])
+    shingles = cut(shingles.dropDuplicates(["node"]).select(F.col("node").alias("id"), "shingles"))
+    links = class_links(cand, classes.select(F.col("node").alias("id"), "n_shingles"), shingles, percent)
+    comps = components(links.union(_same_id(full, names)))
+    least = comps.join(names.select(F.col("node").alias("id"), "rep"), "id")
+    least = least.join(least.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select(F.col("id").alias("node"), "least")
+    by_class = classes.select("node", "set_a", "set_b", "rep", "copies").join(least, "node", "left").select("set_a", "set_b", "copies", F.coalesce("least", "rep").alias("comp"))
+    rows_of = found.select("id", "n_shingles", "set_a", "set_b")
+    heavy = heavy_keys(by_class, "copies", full.count())
+    out = spread_join(rows_of, by_class, ["set_a", "set_b"], heavy, F.xxhash64("id"))
     comp = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id"))
     return out.select("id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_id(full: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of rows that share an id but not a set."""
+    several = full.groupBy("id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo <> hi").select("id")
+    of = cut(full.select("id", "set_a", "set_b").join(several, "id").join(names.select("node", "set_a", "set_b"), ["set_a", "set_b"]).select("id", "node").distinct())
+    return of.join(of.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b")
+
+
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4).withColumnRenamed("id", "doc_id")

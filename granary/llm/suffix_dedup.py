@@ -12,6 +12,8 @@ About one place in forty is an anchor, and only strings whose anchor's gram stan
    that begins with the same bytes and sorts its strings by multikey quicksort: digests part different strings at
    once, then the bytes decide, eight at a time. Ranges cut between different leading bytes, so no run of
    equal strings crosses a boundary; that is what the comparison across boundaries comes to here.
+   What stands at an anchor that more than ``HOT`` parts have is sorted twice: first among about the root of the number of parts,
+   which pass on only the first of equal strings, then in its bucket. No task thus holds a copy from every part.
 4. Removed ranges return to their parts, and the rest of each text is put together.
 
 Order: smaller id, then earlier start; repeated ids by text; null ids come last, by a hash of their text. Defined results:
@@ -35,6 +37,9 @@ from .shingles import mixed
 LENGTH, GRAM = 100, 24
 #: Text of a part; its arrays take some hundred MB at most.
 PART_BYTES = 4_000_000
+HOT = 32
+#: Text behind a range of hashes and a bucket of suffixes.
+RANGE_BYTES = 128_000_000
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 BIG = np.iinfo(np.int64).max
 
@@ -172,35 +177,37 @@ def merged(starts: np.ndarray, length: int, doc: np.ndarray) -> tuple[np.ndarray
     return starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]] + length
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, spans array<struct<start, end>>); digest: kept_sha256 in place of both last."""
     spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     salt = F.when(F.col("id").isNull(), F.xxhash64("text"))
     n_rows, n_bytes = d.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    parts = max(buckets, -(-(n_bytes or 0) // PART_BYTES))
+    buckets = max(shuffle_parts(spark), -(-(n_bytes or 0) // RANGE_BYTES))
+    parts = max(buckets, -(-(n_bytes or 0) // part_bytes))
+    pools = max(1, round(parts**0.5))
     d = d.withColumn("part", F.pmod(F.xxhash64("id", salt), F.lit(parts)).cast("int"))
     cuts = _splitters(d, n_rows, parts, length)
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         u = np.unique(Part(rows["id"].to_pylist(), rows["text"].to_pylist(), length).gram)
-        at = np.searchsorted(ranges(u, buckets), np.arange(buckets + 1))
-        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "part": pa.array([key[0].as_py()] * buckets, pa.int32()), "grams": pa.array([u[at[b] : at[b + 1]].tobytes() for b in range(buckets)], pa.binary())})
+        to, at = _runs(ranges(u, buckets))
+        return pa.table({"bucket": pa.array(to, pa.int32()), "part": pa.array([key[0].as_py()] * len(to), pa.int32()), "grams": pa.array([u[x].tobytes() for x in at], pa.binary())})
 
     def answer(key: tuple, asked: pa.Table) -> pa.Table:
         grams = [np.frombuffer(x, "<u8") for x in asked["grams"].to_pylist()]
         u, n = np.unique(np.concatenate(grams), return_counts=True)
-        shared = u[n > 1]
-        return pa.table({"part": asked["part"], "grams": pa.array([g[np.isin(g, shared, assume_unique=True)].tobytes() for g in grams], pa.binary())})
+        pick = lambda some: pa.array([g[np.isin(g, some, assume_unique=True)].tobytes() for g in grams], pa.binary())
+        return pa.table({"part": asked["part"], "grams": pick(u[n > 1]), "hot": pick(u[n > hot])})
 
-    SENT = "bucket int, part int, kind int, id binary, tie binary, row binary, start binary, size binary, bytes binary"
+    SENT = "bucket int, pool int, part int, kind int, id binary, tie binary, row binary, start binary, size binary, bytes binary"
+    FOUND = "part int, row binary, start binary, size binary"
 
     def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith("int") else pa.binary()) for c in SENT.split(", ")})
+            return _table([], SENT)
         p = Part(rows["id"].to_pylist(), rows["text"].to_pylist(), length)
-        shared = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in answers["grams"].to_pylist()] or [np.zeros(0, np.uint64)]))
+        shared, often = (np.unique(np.frombuffer(b"".join(answers[c].to_pylist()), "<u8")) for c in ("grams", "hot"))
         u, back, n = np.unique(p.gram, return_inverse=True, return_counts=True)
         at, _ = p.places(np.flatnonzero(n[back] > 1))
         later = np.sort(at[not_first(*equal_runs(p.w, at, length))])
@@ -208,7 +215,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         a, b = merged(later, length, np.searchsorted(p.ends, later, side="right"))
         doc = np.searchsorted(p.ends, a, side="right")
         part, blank = key[0].as_py(), b""
-        out.append((part % len_buckets, part, 0, blank, blank, p.rank[doc].tobytes(), (a - p.starts[doc]).tobytes(), (b - a).tobytes(), blank))
+        out.append((part % len_buckets, -1, part, 0, blank, blank, p.rank[doc].tobytes(), (a - p.starts[doc]).tobytes(), (b - a).tobytes(), blank))
         # the first in this part of each string: runs of such places under one shared anchor go on with their surroundings
         pick = np.flatnonzero(np.isin(p.gram, shared))
         at, of = p.places(pick)
@@ -220,51 +227,67 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             anchor = p.anchor[pick][of[head]]
             leads = np.array([p.buf[x : x + GRAM].tobytes() for x in anchor.tolist()], f"S{GRAM}")
             to = np.searchsorted(np.array(cuts, f"S{GRAM}"), leads, side="right") if cuts else np.zeros(len(leads), np.int64)
+            to = 2 * to + np.isin(p.gram[pick][of[head]], often)
             order = np.argsort(to, kind="stable")
             doc = np.searchsorted(p.ends, start, side="right")
             for b, at_b in zip(*_runs(to[order]), strict=True):
                 i = order[at_b]
                 k = doc[i]
                 out.append((
-                    int(b), part, 1, p.id[k].tobytes(), p.tie[k].tobytes(), p.rank[k].tobytes(), (start[i] - p.starts[k]).tobytes(), size[i].tobytes(),
+                    b // 2, part % pools if b % 2 else -1, part, 1, p.id[k].tobytes(), p.tie[k].tobytes(), p.rank[k].tobytes(), (start[i] - p.starts[k]).tobytes(), size[i].tobytes(),
                     b"".join([p.buf[x : x + y].tobytes() for x, y in zip(start[i].tolist(), size[i].tolist(), strict=True)]),
                 ))
-        return pa.table({c.split()[0]: pa.array([r[i] for r in out], pa.int32() if c.endswith("int") else pa.binary()) for i, c in enumerate(SENT.split(", "))})
+        return _table(out, SENT)
 
     len_buckets = len(cuts) + 1
 
-    def sort(key: tuple, rows: pa.Table) -> pa.Table:
-        kind = rows["kind"].to_numpy()
-        out = {"part": [], "row": [], "start": [], "size": []}
-        for i in np.flatnonzero(kind == 0).tolist():  # what parts have found by themselves passes through
-            for c in out:
-                out[c].append(rows[c][i].as_py())
-        pick = np.flatnonzero(kind == 1)
-        if len(pick):
-            t = rows.take(pa.array(pick))
-            get = lambda c, k: np.frombuffer(b"".join(t[c].to_pylist()), k)
-            ident, tie, start, size, row = get("id", "<i8"), get("tie", "<i8"), get("start", "<i8"), get("size", "<i8"), get("row", "<i4")
-            part = np.repeat(t["part"].to_numpy(), [len(x) // 4 for x in t["row"].to_pylist()])
-            buf = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
-            base = np.cumsum(size) - size
-            order = np.lexsort((start, tie, ident))
-            n = size[order] - length + 1
-            of = np.repeat(order, n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            later = np.sort(not_first(*equal_runs(words8(buf), base[of] + inner, length)))
-            place, seg = inner[later], of[later]
-            if len(later):
-                head = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (place[1:] != place[:-1] + 1)])
-                first, long = place[head] + start[seg[head]], place[np.r_[head[1:] - 1, len(place) - 1]] - place[head] + length
-                of_part = part[seg[head]]
-                by = np.argsort(of_part, kind="stable")
-                for b, at_b in zip(*_runs(of_part[by]), strict=True):
-                    i = by[at_b]
-                    out["part"].append(int(b))
-                    out["row"].append(row[seg[head][i]].tobytes())
-                    out["start"].append(first[i].tobytes())
-                    out["size"].append(long[i].tobytes())
-        return pa.table({c: pa.array(v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
+    def sort(rows: pa.Table, pass_on: bool) -> list[tuple]:
+        """Rows of SENT: what is removed (kind 0) and, for what is sorted again, the first of equal strings (kind 1)."""
+        kind, blank = rows["kind"].to_numpy(), b""
+        # what parts have found by themselves passes through
+        out = [tuple(r.values()) for r in rows.filter(pa.array(kind == 0)).to_pylist()]
+        t = rows.filter(pa.array(kind == 1))
+        if not t.num_rows:
+            return out
+        get = lambda c, k: np.frombuffer(b"".join(t[c].to_pylist()), k)
+        ident, tie, start, size, row = get("id", "<i8"), get("tie", "<i8"), get("start", "<i8"), get("size", "<i8"), get("row", "<i4")
+        part = np.repeat(t["part"].to_numpy(), [len(x) // 4 for x in t["row"].to_pylist()])
+        buf = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
+        base = np.cumsum(size) - size
+        order = np.lexsort((start, tie, ident))
+        n = size[order] - length + 1
+        of = np.repeat(order, n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = np.zeros(len(of), bool)
+        gone[not_first(*equal_runs(words8(buf), base[of] + inner, length))] = True
+
+        def segments(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(the sent run, first place in it, bytes) of maximal runs of picked places."""
+            place, seg = inner[pick], of[pick]
+            if not len(place):
+                return seg, place, place
+            head = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (place[1:] != place[:-1] + 1)])
+            return seg[head], place[head], place[np.r_[head[1:] - 1, len(place) - 1]] - place[head] + length
+
+        bucket = t["bucket"][0].as_py()
+        for k, pick in ((0, gone), (1, ~gone))[: 1 + pass_on]:
+            seg, place, long = segments(np.flatnonzero(pick))
+            by = np.argsort(part[seg], kind="stable")
+            for p, at in zip(*_runs(part[seg][by]), strict=True):
+                i = by[at]
+                j, at_text = seg[i], place[i] + start[seg[i]]
+                if k == 0:
+                    out.append((p % len_buckets, -1, p, 0, blank, blank, row[j].tobytes(), at_text.tobytes(), long[i].tobytes(), blank))
+                else:
+                    bytes_ = b"".join([buf[x : x + y].tobytes() for x, y in zip((base[j] + place[i]).tolist(), long[i].tolist(), strict=True)])
+                    out.append((bucket, -1, p, 1, ident[j].tobytes(), tie[j].tobytes(), row[j].tobytes(), at_text.tobytes(), long[i].tobytes(), bytes_))
+        return out
+
+    def in_pools(key: tuple, rows: pa.Table) -> pa.Table:
+        return _table(sort(rows, key[1].as_py() >= 0), SENT)
+
+    def in_buckets(key: tuple, rows: pa.Table) -> pa.Table:
+        return _table([(r[2], *r[6:9]) for r in sort(rows, False)], FOUND)
 
     def finish(key: tuple, rows: pa.Table, cut: pa.Table) -> pa.Table:
         ids, texts = rows["id"].to_pylist(), rows["text"].to_pylist()
@@ -301,13 +324,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table(t)
 
     asked = d.groupBy("part").applyInArrow(ask, "bucket int, part int, grams binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "part int, grams binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "part int, grams binary, hot binary")
     sent = d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda k, x, y: send(k, x, y), SENT)
-    found = sent.groupBy("bucket").applyInArrow(sort, "part int, row binary, start binary, size binary")
+    found = sent.groupBy("bucket", "pool").applyInArrow(in_pools, SENT)
+    found = found.groupBy("bucket").applyInArrow(in_buckets, FOUND) if parts > hot else found.select("part", "row", "start", "size")
     schema = "id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start: long, end: long>>")
     return d.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda k, x, y: finish(k, x, y), schema)
 
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    return pa.table({c.split()[0]: pa.array([r[i] for r in rows], pa.int32() if c.endswith("int") else pa.binary()) for i, c in enumerate(schema.split(", "))})
+
+
 def _runs(a: np.ndarray) -> tuple[list, list]:
     """Values of a sorted array and the slices where they stand."""
     head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)

@@ -7,10 +7,14 @@ import xxhash
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, each computed once; forgotten past a bound."""
+    """64-bit hashes of words, each computed once; forgotten past a bound (a million take some 180 MB)."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > self.most:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -150,11 +150,10 @@ def test_lm_ways_are_equal_and_the_filter_holds_every_count(spark):
     block = lm.filter_block((keys[pairs], counts[pairs]), (keys[triples], counts[triples]))
     f = lm.Filter(block, [len(block)])
     want = lm.levels(counts)
-    q = f.probe(keys[pairs], 2)
-    assert (q >= want[pairs]).all() and (q > want[pairs]).mean() < 0.02
-    q = f.probe(keys[triples], 3)
-    assert (q[want[triples] > 1] >= want[triples][want[triples] > 1]).all() and (q[want[triples] == 1] > 0).mean() < 0.02
-    assert (f.probe(keys[absent], 2) > 0).mean() < 0.02
+    for some, kind in ((pairs, 2), (triples, 3)):
+        q, w = f.probe(keys[some], kind), np.where(want[some] >= kind - 1, want[some], 0)  # no entry for triples that occur once
+        assert (q >= w).all() and (q > w).mean() < 0.04
+    assert (f.probe(keys[absent], 2) > 0).mean() < 0.04
     assert not lm.Filter(b"", [0]).probe(keys[absent], 2).any() and not len(lm.Filter(b"", []).probe(keys[:0], 2))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
+from .skew import heavy_keys, spread_join
 
 
 def line_counts(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -15,9 +17,15 @@ def line_counts(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
 
 
 def drop_lines(docs: DataFrame, hashes: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds kept (text without the lines whose hash is listed) and dropped. Only positions to drop are joined back."""
+    """Adds kept (text without the lines whose hash is listed) and dropped. Only positions to drop are joined back.
+
+    hashes: (hash, n). The lines of those that make up a large part of all are dealt out by row, so none fills one task.
+    """
     at = docs.select(ident, F.posexplode(T.lines(F.col(text))).alias("pos", "raw")).select(ident, "pos", T.strip(F.col("raw")).alias("line")).where("line <> ''")
-    drops = at.withColumn("hash", T.line_hash(F.col("line"))).join(hashes.select("hash"), "hash").groupBy(ident).agg(F.collect_set("pos").alias("_drop"))
+    listed = cut(hashes.select("hash", "n"))
+    total = listed.agg(F.sum("n")).first()[0] or 0
+    met = spread_join(at.select(ident, "pos", T.line_hash(F.col("line")).alias("hash")), listed, ["hash"], heavy_keys(listed, "n", total), F.xxhash64(ident, "pos"))
+    drops = met.where("n is not null").groupBy(ident).agg(F.collect_set("pos").alias("_drop"))
     d = docs.join(drops, ident, "left")
     parts = T.lines(F.col(text))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))

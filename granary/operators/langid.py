@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,51 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFr
     return rows.select("gram", "lang", F.ln((F.coalesce(F.get(F.array(F.try_element_at("m", F.col("lang"))), 0), F.lit(0)) + 1) / (F.col("total") + F.col("v"))).alias("logp"))
 
 
-def predict(docs: DataFrame, model: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, predicted, confidence): softmax of the mean log likelihoods times 20; short samples are unknown with 0."""
+#: Rows of a model (grams times languages) up to which it is broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def predict(docs: DataFrame, model: DataFrame, ident: str = "doc_id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, predicted, confidence): softmax of the mean log likelihoods times 20; short samples are unknown with 0.
+
+    A model of at most ``most`` rows is broadcast as one table of weights, and texts are scored where they are read, without a
+    shuffle; a larger one is joined to the texts' grams, with the same results. Ties go to the language that sorts last.
+    """
+    rows = model.select("gram", "lang", "logp").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return predict_by_join(docs, model, ident, text)
+    langs = sorted(set(rows["lang"].to_pylist()))
+    if not langs:
+        return docs.select(ident, F.lit("unknown").alias("predicted"), F.lit(0.0).alias("confidence"))
+    grams: dict[str, int] = {}
+    of = np.array([grams.setdefault(g, len(grams)) for g in rows["gram"].to_pylist()])
+    weights = np.zeros((len(grams), len(langs)))
+    weights[of, np.searchsorted(langs, rows["lang"].to_pylist())] = rows["logp"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((grams, weights))
+
+    @F.pandas_udf("predicted string, confidence double")
+    def classify(samples: pd.Series) -> pd.DataFrame:
+        grams, weights = sent.value
+        out = []
+        for s in samples:
+            if s is None or len(s) < LEAST:
+                out.append(("unknown", 0.0))
+                continue
+            at = [i for i in map(grams.get, map("".join, zip(s, s[1:], s[2:], strict=False))) if i is not None]
+            if not at:
+                out.append(("unknown", 0.0))
+                continue
+            mean = weights[at].mean(axis=0)
+            best = len(mean) - 1 - int(mean[::-1].argmax())
+            out.append((langs[best], 1 / float(np.exp(20 * (mean - mean[best])).sum())))
+        return pd.DataFrame(out, columns=["predicted", "confidence"])
+
+    got = docs.select(ident, classify(F.lower(sample(F.col(text)))).alias("c"))
+    return got.select(ident, "c.predicted", "c.confidence")
+
+
+def predict_by_join(docs: DataFrame, model: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """predict() for models of any size, as a relational plan; one row an id."""
     g = trigrams(docs, [ident], text).join(model, "gram")
     s = g.groupBy(ident, "lang").agg((F.sum(F.col("c") * F.col("logp")) / F.sum("c")).alias("mean"))
     best = s.groupBy(ident).agg(F.max(F.struct("mean", "lang")).alias("best"), F.collect_list("mean").alias("means"))

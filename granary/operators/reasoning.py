@@ -111,9 +111,17 @@ def generate(spark: SparkSession, counts: dict[str, int], seed: int = 1337) -> D
     # twice as many rows are drawn as wanted; repeated prompts go, and each family keeps its share
     d = d.withColumn("again", F.row_number().over(Window.partitionBy("split", "example_id").orderBy("row"))).where("again = 1")
     d = d.withColumn("k", F.row_number().over(Window.partitionBy("split", "family").orderBy("row"))).where(F.col("k") <= F.ceil(F.col("n") / 8))
+    # a family that can't be filled is an error, not a shorter result
+    have = F.count(F.lit(1)).over(Window.partitionBy("split", "family"))
+    d = d.withColumn("k", F.when(have >= F.ceil(F.col("n") / 8), F.col("k")).otherwise(F.raise_error(F.concat(F.lit("too few distinct examples: "), "split", F.lit(" "), "family")).cast("int"))).where("k > 0")
     return d.select("split", "family", "example_id", "template", "attribute", "n_entities", "hops", "prompt", "answer", "entities", "values")
 
 
+def text_view(examples: DataFrame) -> DataFrame:
+    """Adds text, the prompt with its answer; it is derived and never stored."""
+    return examples.withColumn("text", F.concat_ws(" ", "prompt", "answer"))
+
+
 def describe(examples: DataFrame) -> DataFrame:
     length = F.length("prompt")
     return examples.groupBy("split", "template").agg(
@@ -127,7 +135,9 @@ def leakage(examples: DataFrame) -> DataFrame:
     names = examples.select("split", F.explode("entities").alias("v")).withColumn("what", F.lit("name"))
     every = names.unionByName(examples.select("split", F.col("prompt").alias("v"), F.lit("prompt").alias("what"))).distinct()
     both = every.groupBy("what", "v").agg(F.sort_array(F.collect_set("split")).alias("s"))  # three splits at most
-    found = both.where(F.size("s") > 1).select("what", F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b")))).alias("p"))
+    s = F.col("s")
+    later = lambda i: F.transform(F.slice(s, i + 2, F.size(s)), lambda b: F.struct(F.get(s, i).alias("a"), b.alias("b")))
+    found = both.where(F.size("s") > 1).select("what", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 2), later))).alias("p"))
     counts = found.groupBy("what", "p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
     spark = examples.sparkSession
     grid = spark.createDataFrame([(w, a, b) for w in ("name", "prompt") for a, b in (("test", "train"), ("test", "validation"), ("train", "validation"))], "what string, a string, b string")

@@ -103,3 +103,26 @@ def chrf(counts: list, beta: float = 2.0) -> float:
         return 0.0
     a, b = sum(p) / len(p), sum(q) / len(q)
     return float(100 * (1 + beta**2) * a * b / (beta**2 * a + b)) if a + b else 0.0
+
+
+def paired(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Predictions with their references, one to one; if either side lacks a row of the other, reading the result is an error."""
+    both = predictions.withColumn("_p", F.lit(True)).join(references.withColumn("_r", F.lit(True)), key, "full")
+    one = F.when(F.col("_p") & F.col("_r"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no counterpart of "), F.col(key).cast("string"))).cast("boolean"))
+    return both.withColumn("_p", one).where("_p").drop("_p", "_r")
+
+
+def generation_means(pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
+    """Means over the corpus: words of both sides and ROUGE-L."""
+    d = rouge_l(pairs, hypothesis, reference)
+    return d.agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg(T.word_count(F.col(hypothesis))).alias("mean_words"), F.avg(T.word_count(F.col(reference))).alias("mean_reference_words"),
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("rouge_l"),
+    )
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share: where the answer begins in an encoded prompt with its answer."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    n = F.least(F.size(a), F.size(b))
+    return F.coalesce(F.nullif(F.array_position(F.slice(same, F.lit(1), F.greatest(n, F.lit(0))), F.lit(False)), F.lit(0)) - 1, n).cast("long")

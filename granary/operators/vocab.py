@@ -175,3 +175,20 @@ def select_vocabulary(candidates: DataFrame, cap: int, tolerance: float = 0.03)
     best = under.agg(F.min("fertility").alias("best"))
     near = under.join(F.broadcast(best), F.col("fertility") <= F.col("best") * (1 + tolerance))  # one row
     return near.agg(F.min("vocab_size").alias("a")).join(candidates.agg(F.min("vocab_size").alias("b")), F.lit(True)).select(F.coalesce("a", "b").alias("vocab_size"))
+
+
+def evaluate_candidates(encoded: DataFrame) -> DataFrame:
+    """encoded: (vocab_size, word, n, pieces, known_pieces). One row a candidate: fertility, characters a token, the share of
+    words of one piece, of words that go on in a further piece, of pieces that are bytes, and what was encoded."""
+    n, p = F.col("n"), F.col("pieces")
+    total = lambda c: F.sum(c * n)
+    return encoded.groupBy("vocab_size").agg(
+        F.count(F.lit(1)).alias("distinct_words"), F.sum("n").alias("words"), total(p).alias("tokens"), (total(p) / F.sum("n")).alias("fertility"),
+        (total(F.length("word")) / total(p)).alias("chars_per_token"), (total((p == 1).cast("long")) / F.sum("n")).alias("whole_share"),
+        (total((p > 1).cast("long")) / F.sum("n")).alias("continued_share"), (total(p - F.col("known_pieces")) / total(p)).alias("byte_share"),
+    )
+
+
+def lookup_selected(candidates: DataFrame, cap: int, tolerance: float = 0.03) -> DataFrame:
+    """The row of the selected size."""
+    return candidates.join(F.broadcast(select_vocabulary(candidates, cap, tolerance)), "vocab_size")  # one row

@@ -151,9 +151,15 @@ def q_reasoning_describe(spark, sf_dir):
     return reasoning.describe(reasoning.generate(spark, COUNTS))
 
 
-@query("SELECT w AS what, a, b, 0::BIGINT AS shared FROM (VALUES ('name'), ('prompt')) x(w), (VALUES ('test', 'train'), ('test', 'validation'), ('train', 'validation')) y(a, b)")
+@query(f"""WITH e AS (SELECT ['test', 'train', 'validation'][(conv_id % 3 + 1)::INT] AS split, text AS prompt, regexp_extract_all(text, '{X.NOT_WS}+')[1:4] AS entities FROM conversations),
+v AS (SELECT DISTINCT split, 'name' AS what, unnest(entities) AS v FROM e UNION SELECT DISTINCT split, 'prompt', prompt FROM e),
+g AS (SELECT * FROM (VALUES ('name'), ('prompt')) x(what), (VALUES ('test', 'train'), ('test', 'validation'), ('train', 'validation')) y(a, b))
+SELECT g.what, g.a, g.b, (SELECT count(*) FROM v p JOIN v q ON p.v = q.v AND p.what = q.what WHERE p.what = g.what AND p.split = g.a AND q.split = g.b)::BIGINT AS shared FROM g""")
 def q_leakage(spark, sf_dir):
-    return reasoning.leakage(reasoning.generate(spark, COUNTS))
+    """Turns as examples of three splits: names and prompts that two splits have in common."""
+    c = X.table(spark, sf_dir, "conversations")
+    split = F.element_at(F.array(*[F.lit(s) for s in ("test", "train", "validation")]), (F.col("conv_id") % 3 + 1).cast("int"))
+    return reasoning.leakage(c.select(split.alias("split"), F.col("text").alias("prompt"), F.slice(T.words(F.col("text")), 1, 4).alias("entities")))
 
 
 def predictions(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import text as TX
+from ..operators.lineage import cut
+
 DOCUMENT = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source_type", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("title", T.StringType()), T.StructField("fetched_at", T.DoubleType()), T.StructField("doc_id", T.StringType()),
@@ -135,3 +139,96 @@ def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     m = spark.sql(f"SELECT explode(sequence(trunc(date'{start}', 'month'), date'{end}', interval 1 month)) AS m")
     m = m.select(F.date_format("m", "yyyy-MM").alias("label"), F.greatest("m", F.lit(start).cast("date")).alias("start"), F.least(F.add_months("m", 1), F.lit(end).cast("date")).alias("stop"))
     return m.where("start < stop").orderBy(F.desc("label"))
+
+
+def bfs(edges: DataFrame, roots: DataFrame, rounds: int, cap: int) -> DataFrame:
+    """edges: (parent, child), roots: (node). (node, depth): every node once, at its least depth, at most so many rounds from a
+    root; a round that would go beyond cap visited nodes is the last. Each round is one join with the newest nodes."""
+    seen = cut(roots.select("node", F.lit(0).alias("depth")).distinct())
+    newest, total = seen, seen.count()
+    for depth in range(1, rounds + 1):
+        found = edges.join(newest.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
+        newest = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        n = newest.count()
+        if not n:
+            break
+        seen = cut(seen.unionByName(newest))
+        total += n
+        if total >= cap:
+            break
+    return seen
+
+
+def first_hit(candidates: DataFrame, key: str, priority: str, ok: str) -> DataFrame:
+    """Of each key the candidate of the least priority number that answers: explicit, then announced, then conventional ones."""
+    return candidates.where(F.col(ok)).groupBy(key).agg(F.min_by(F.struct(*[c for c in candidates.columns if c != key]), priority).alias("_c")).select(key, "_c.*")
+
+
+def date_pages(posts: DataFrame, source: str, date: str, ident: str, per_page: int) -> DataFrame:
+    """(source, page, n, cursor, stalled): posts newest first in pages; a page's cursor is its oldest date, before which the next
+    page is asked for. A page whose cursor is that of the page before has stalled, and the scan of the source ends there."""
+    w = Window.partitionBy(source).orderBy(F.desc(date), F.desc(ident))
+    pages = posts.withColumn("page", F.floor((F.row_number().over(w) - 1) / per_page)).groupBy(source, "page").agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("cursor"))
+    return pages.withColumn("stalled", F.coalesce(F.lag("cursor").over(Window.partitionBy(source).orderBy("page")) == F.col("cursor"), F.lit(False)))
+
+
+def archive_start(posts: DataFrame, pinned: DataFrame, source: str, date: str) -> DataFrame:
+    """(source, start): the pinned date of a source, else that of its oldest post."""
+    oldest = posts.groupBy(source).agg(F.min(date).alias("oldest"))
+    return oldest.join(pinned, source, "left").select(source, F.coalesce("pinned", "oldest").alias("start"))
+
+
+def landed_records(spark: SparkSession, path: str, text_field: str) -> DataFrame | None:
+    """Landed files of a public dataset as (text, url); one that can't be opened gives None, so a run goes on without it."""
+    try:
+        d = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    url = F.col("url") if dict(d.dtypes).get("url") == "string" else F.lit("")
+    text = F.col(text_field) if dict(d.dtypes).get(text_field) == "string" else F.lit(None).cast("string")
+    return d.select(text.alias("text"), F.coalesce(url, F.lit("")).alias("url"))
+
+
+def record_documents(records: DataFrame, text: str, url: str, script: str, least: float = 0.5, words: int = 120, n_lines: int = 3) -> DataFrame:
+    """Records as documents: cleaned, behind the quality gate and a least share of a script; adds doc_id, words and ratio."""
+    d = records.where(TX.strip(F.col(text)) != "").withColumn(text, TX.clean(F.col(text)))
+    d = d.where(TX.good_document(F.col(text), words, n_lines)).withColumn("ratio", TX.script_ratio(F.col(text), script)).where(F.col("ratio") >= least)
+    return d.withColumn("doc_id", TX.content_hash(F.col(text))).withColumn("words", TX.prose_words(F.col(text))).withColumn(url, F.coalesce(F.col(url), F.lit("")))
+
+
+def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report of one JSON object; a missing file is one row of nulls, never an error."""
+    try:
+        d = spark.read.schema(schema).json(path, multiLine=True)
+    except AnalysisException:
+        d = spark.createDataFrame([], schema)
+    one = spark.range(1).select(F.lit(True).alias("_one"))
+    return one.join(d.withColumn("_one", F.lit(True)), "_one", "left").drop("_one")
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """A small aggregate as one JSON-lines file with its characters as they are."""
+    stats.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_examples(examples: DataFrame, path: str) -> None:
+    """Examples with the fields that are stored; the joined text is not. A failed run leaves no _SUCCESS."""
+    kept = ["example_id", "template", "attribute", "n_entities", "hops", "prompt", "answer", "entities"]
+    examples.select("split", *kept).write.mode("overwrite").partitionBy("split").json(path)
+
+
+def log_summary(log: DataFrame, run: str) -> DataFrame:
+    """(run, best, best_step, throughput, left): the least validation loss and its first step, the mean of the windows' tokens per
+    second without each run's first window, and the seconds that the tokens still to come take at that rate."""
+    first = Window.partitionBy(run).orderBy("step")
+    d = log.withColumn("_warm", F.row_number().over(first) > 1)
+    g = d.groupBy(run).agg(
+        F.min("val_loss").alias("best"), F.min_by("step", F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "step"))).alias("best_step"),
+        F.avg(F.when(F.col("_warm"), F.col("tokens_per_second"))).alias("throughput"), F.max("tokens_seen").alias("_seen"), F.max("tokens_total").alias("_total"),
+    )
+    return g.select(run, "best", "best_step", "throughput", F.try_divide(F.col("_total") - F.col("_seen"), "throughput").alias("left"))
+
+
+def manifest_totals(files: DataFrame, profile: Column) -> DataFrame:
+    """files: (path, bytes). (profile, files, bytes) of those that a profile keeps (null: none), and of all (profile null)."""
+    return files.withColumn("profile", profile).where("profile IS NOT NULL").rollup("profile").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))

@@ -34,6 +34,17 @@ def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "5 m
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def append_metrics(metrics: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream of metric events added to a log of JSON lines; what was written before is never changed."""
+    return metrics.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def stop_after_batch(query: StreamingQuery) -> None:
+    """Lets the batch in work end and its offsets be written, then stops; the next start goes on behind it."""
+    query.processAllAvailable()
+    query.stop()
+
+
 def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything that has landed, exactly once, then stop."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -41,7 +41,7 @@ from .shingles import WordHashes, mixed, words
 
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\r"))  # no word holds white space
 BITS, PROBES, WEIGHT = 9, 4, 0.1
-BATCH_BYTES, KNOWN = 6_000_000, 100_000
+BATCH_BYTES, KNOWN = 3_000_000, 100_000
 #: Text behind a range of hashes, and of a group of texts that sends its requests.
 RANGE_BYTES, GROUP_BYTES = 64_000_000, 16_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)

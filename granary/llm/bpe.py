@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 
 def default_ranks() -> str:
@@ -80,7 +80,7 @@ def encoder(path: str, pattern: str):
 
 
 #: Distinct words whose ids a worker keeps; past it the memory starts anew.
-KEPT = 600_000
+KEPT = 100_000
 
 
 def chunks(text: str) -> list[str]:
@@ -197,7 +197,7 @@ def encode_documents(
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>" + ", offsets array<int>" * offsets)
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.skew import heavy_keys, spread_join
-from .common import cut, shuffle_parts, table
+from .common import cut, shuffle_parts, table, tidy
 from .graph import components
 from .lm import ranges
 from .shingles import WordHashes, mixed, shingle_set, word_hashes
@@ -90,7 +90,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows:
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, " + ("set_a long, set_b long, shingles array<long>" if whole else "n_shingles long, set_a long, set_b long, keys array<long>")
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:

@@ -7,9 +7,9 @@ import xxhash
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, each computed once; forgotten past a bound (a million take some 180 MB)."""
+    """64-bit hashes of words, each computed once; forgotten past a bound (200,000 take some 40 MB)."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 LONG, SHARED, DISCOUNT = 5, 2, 0.9
 MAX_GRAMS = 4_000_000
 WHOLE, STRETCH = 64, 12
+#: Distinct tokens whose values a worker keeps; past it the memory starts anew.
+KEPT = 200_000
 MARKS = ".,;:!?\"'()[]{}«»…"
 
 
@@ -81,7 +83,7 @@ class Model:
     def token(self, t: str) -> tuple[float, int, float]:
         got = self.known.get(t)
         if got is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > KEPT:
                 self.known.clear()
             each = [self.word(w) for w in expressions(t)]
             got = self.known[t] = (sum(x[0] for x in each), sum(x[1] for x in each), max((x[2] for x in each), default=-math.inf))
@@ -202,7 +204,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 some = every[lo : lo + 50_000]
                 yield pa.RecordBatch.from_pydict({"g": pa.array(some), "a": pa.array([sums[0][g] for g in some], pa.int64()), "b": pa.array([sums[1][g] for g in some], pa.int64())})
 
-    found = docs.select("text", F.col("toxic").cast("int")).mapInArrow(run, "g string, a long, b long")
+    found = docs.select("text", F.col("toxic").cast("int")).mapInArrow(lambda batches: tidy(run(batches)), "g string, a long, b long")
     return found.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -273,7 +275,7 @@ def score_documents(docs: DataFrame, learned: tuple[Model, float, float] | None,
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def held_out(fold: int = 5, rest: int = 0):

@@ -44,7 +44,7 @@ LONG, SHARED, DISCOUNT = 5, 2, 0.9
 MAX_GRAMS = 4_000_000
 WHOLE, STRETCH = 64, 12
 #: Distinct tokens whose values a worker keeps; past it the memory starts anew.
-KEPT = 200_000
+KEPT = 500_000
 MARKS = ".,;:!?\"'()[]{}«»…"
 
 

@@ -374,7 +374,9 @@ def _splitters(d: DataFrame, n: int, buckets: int, length: int, sample_rows: int
             p = Part(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length)
             yield pa.RecordBatch.from_pydict({"lead": pa.array([p.buf[a : a + GRAM].tobytes() for a in p.anchor[:: max(1, len(p.anchor) // 20_000)].tolist()], pa.binary())})
 
-    some = d.select("id", "text").where(F.pmod(F.xxhash64(F.lit("split"), "id"), F.lit(n)) < sample_rows)
+    # rows without id are drawn by their text, not all or none of them
+    draw = F.xxhash64(F.lit("split"), "id", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    some = d.select("id", "text").where(F.pmod(draw, F.lit(n)) < sample_rows)
     got = np.sort(np.array(some.mapInArrow(leads, "lead binary").toArrow()["lead"].to_pylist(), f"S{GRAM}"))
     return sorted({x.ljust(GRAM, b"\0") for x in got[[len(got) * i // buckets for i in range(1, buckets)]].tolist()}) if len(got) else []
 

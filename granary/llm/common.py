@@ -26,17 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def tidy(batches: Iterator) -> Iterator:
     """The batches; after the last one, the memory that they took is returned to the system. Python workers outlive
     their tasks, and what an idle one still holds is missing where the next stage runs."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError, TypeError):  # not glibc
-            pass
+        give_back()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table, tidy
+from .common import cut, give_back, table, tidy
 
 LONG, SHARED, DISCOUNT = 5, 2, 0.9
 MAX_GRAMS = 4_000_000
@@ -113,35 +113,53 @@ class Model:
         return worst + total / n if n else 0.0
 
 
-def fit_model(counts: list[tuple[str, int, int]]) -> Model:
-    """counts: (n-gram, ordinary documents, toxic documents) of all n-grams of up to LONG + 1 characters."""
-    # of each n-gram below the longest order: before how many different characters it stands, in each class and in either
-    after: list[Counter] = [Counter(), Counter(), Counter()]
-    for g, a, b in counts:
-        low = g[1:]
-        if low:
-            after[0][low] += a > 0
-            after[1][low] += b > 0
-            after[2][low] += 1
-    by: list[dict[str, int]] = [{}, {}]
-    total: list[Counter] = [Counter(), Counter()]
-    kinds: list[Counter] = [Counter(), Counter()]
-    pool: dict[str, int] = {}
-    pool_total: Counter = Counter()
-    pool_kinds: Counter = Counter()
-    for g, a, b in counts:
-        h, raw = g[:-1], len(g) > LONG or g[0] == "^"
-        if len(g) <= SHARED:
-            pool[g] = a + b if raw else after[2][g]
-            pool_total[h] += pool[g]
-            pool_kinds[h] += 1
-            continue
-        for y, c in ((0, a), (1, b)):
-            c = c if raw else after[y][g]
-            if c:
-                by[y][g] = c
-                total[y][h] += c
-                kinds[y][h] += 1
+class Counts:
+    """Rows of (n-gram, ordinary documents, toxic documents), held by column: in tuples they would take several times the memory."""
+
+    def __init__(self, g: list[str], a: np.ndarray, b: np.ndarray):
+        self.g, self.a, self.b = g, a, b
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[str, int, int]]) -> Counts:
+        every = list(rows)
+        return cls([r[0] for r in every], np.array([r[1] for r in every], np.int64), np.array([r[2] for r in every], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.g)
+
+    def __iter__(self) -> Iterator[tuple[str, int, int]]:
+        return zip(self.g, self.a.tolist(), self.b.tolist(), strict=True)
+
+
+def fit_model(counts: Counts | Iterable[tuple[str, int, int]]) -> Model:
+    """counts: (n-gram, ordinary documents, toxic documents) of all n-grams of up to LONG + 1 characters. Values are arrays by
+    n-gram and by context, so what the driver holds is little more than the n-grams themselves."""
+    counts = counts if isinstance(counts, Counts) else Counts.of(counts)
+    gs, seen = counts.g, (counts.a, counts.b)
+    n = len(gs)
+    place = {g: i for i, g in enumerate(gs)}
+    # an n-gram less its first character is an n-gram itself: its place, and -1 below single characters
+    low = np.fromiter((place[g[1:]] if len(g) > 1 else -1 for g in gs), np.int64, n)
+    del place
+    at: dict[str, int] = {}
+    context = np.fromiter((at.setdefault(g[:-1], len(at)) for g in gs), np.int64, n)
+    size = np.fromiter(map(len, gs), np.int64, n)
+    raw = (size > LONG) | np.fromiter((g[0] == "^" for g in gs), bool, n)
+    has = low >= 0
+
+    def counted(own: np.ndarray) -> np.ndarray:
+        """Documents at the longest order and at a word's beginning, before how many different characters elsewhere."""
+        return np.where(raw, own, np.bincount(low[has & (own > 0)], minlength=n))
+
+    def sums(chosen: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context the sum of the values, and how many there are."""
+        some = chosen & (values > 0)
+        return np.bincount(context[some], values[some], len(at)), np.bincount(context[some], minlength=len(at))
+
+    short = size <= SHARED
+    both = counted(seen[0] + seen[1])
+    pool_total, pool_kinds = sums(short, both)
+    pool = {gs[i]: int(both[i]) for i in np.flatnonzero(short)}
     made: dict[str, float] = {}
 
     def shared(h: str, x: str) -> float:
@@ -149,28 +167,30 @@ def fit_model(counts: list[tuple[str, int, int]]) -> Model:
         if h + x not in made:
             p = 1 / 300
             for k in range(len(h) + 1):
-                c = h[len(h) - k :]
-                if n := pool_total[c]:
-                    p = (max(pool.get(c + x, 0) - 0.75, 0) + 0.75 * pool_kinds[c] * p) / n
+                c = at.get(h[len(h) - k :], -1)
+                if c >= 0 and pool_total[c]:
+                    p = (max(pool.get(h[len(h) - k :] + x, 0) - 0.75, 0) + 0.75 * pool_kinds[c] * p) / pool_total[c]
             made[h + x] = p
         return made[h + x]
 
-    likely: list[dict[str, float]] = [{}, {}]
-    ratio: dict[str, float] = {}
-    for g in sorted((g for g, _, _ in counts if len(g) > SHARED), key=len):
-        h, x, low = g[:-1], g[-1], g[1:]
-        both = []
+    own = [counted(seen[y]) for y in (0, 1)]
+    total, kinds = zip(*(sums(~short, own[y]) for y in (0, 1)), strict=True)
+    likely = np.zeros((2, n))
+    for length in range(SHARED + 1, LONG + 2):
+        now = np.flatnonzero(size == length)
+        if length == SHARED + 1:
+            below = np.tile(np.array([shared(gs[i][:-1], gs[i][-1]) for i in now]), (2, 1))
+        else:
+            below = likely[:, low[now]]
         for y in (0, 1):
-            p = likely[y].get(low) if len(low) > SHARED else None
-            p = shared(h, x) if p is None else p
-            if n := total[y].get(h):
-                p = (max(by[y].get(g, 0) - DISCOUNT, 0) + DISCOUNT * kinds[y][h] * p) / n
-            likely[y][g] = p
-            both.append(p)
-        ratio[g] = math.log(both[1] / both[0])
-    weight = lambda y, h: DISCOUNT * kinds[y][h] / total[y][h] if total[y].get(h) else 1.0
-    contexts = {h for y in (0, 1) for h in total[y]}
-    return Model(ratio, {h: math.log(weight(1, h) / weight(0, h)) for h in contexts})
+            t = total[y][context[now]]
+            p = (np.maximum(own[y][now] - DISCOUNT, 0) + DISCOUNT * kinds[y][context[now]] * below[y]) / np.maximum(t, 1)
+            likely[y, now] = np.where(t > 0, p, below[y])
+    long = np.flatnonzero(~short)
+    ratio = dict(zip((gs[i] for i in long), np.log(likely[1, long] / likely[0, long]).tolist(), strict=True))
+    weight = [np.where(t > 0, DISCOUNT * k / np.maximum(t, 1), 1.0) for t, k in zip(total, kinds, strict=True)]
+    known, back = (total[0] > 0) | (total[1] > 0), np.log(weight[1] / weight[0])
+    return Model(ratio, {h: float(back[j]) for h, j in at.items() if known[j]})
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -208,13 +228,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return found.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def bounded_counts(rows: DataFrame, fit_rows: int, max_grams: int) -> list[tuple[str, int, int]]:
+def bounded_counts(rows: DataFrame, fit_rows: int, max_grams: int) -> Counts:
     """rows: (place, text, toxic). The n-grams of the rows placed first, of as many halvings of them as the bound asks for."""
     while True:
         found = cut(count_grams(rows.where(F.col("place") < fit_rows)))
         if found.count() <= max_grams:
             got = found.toArrow()
-            return list(zip(got["g"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+            return Counts(got["g"].to_pylist(), got["a"].to_numpy(), got["b"].to_numpy())
         fit_rows //= 2
 
 
@@ -234,9 +254,11 @@ def learn_from(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, tune_ro
     # fit_rows + tune_rows rows at most: broadcast, so the texts of other documents stay where they are
     rows = cut(docs.join(F.broadcast(chosen), "doc_id"))
     counts = bounded_counts(rows.where("not tune"), fit_rows + tune_rows, max_grams)
-    if not any(a for _, a, _ in counts) or not any(b for _, _, b in counts):
+    if not counts.a.any() or not counts.b.any():
         return None
     model = fit_model(counts)
+    del counts
+    give_back()
     sent = docs.sparkSession.sparkContext.broadcast((model.ratio, model.backoff))
     tuned = rows.where("tune").select("text", "toxic").mapInArrow(_evidence(sent), "x double, y int").toArrow()
     x, y = tuned["x"].to_numpy(), tuned["y"].to_numpy()

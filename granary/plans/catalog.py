@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import chain, cleaning, collection, corpus, evaluation, extras  # noqa: F401  (they register their queries)
+from . import chain, cleaning, collection, corpus, evaluation, extras, packing  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL  # noqa: F401

@@ -39,20 +39,25 @@ _BLOCK = "|".join(T.BLOCKLIST).replace("'", "''")
 _CLEANED = f"array_to_string(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: {_LINE}), lambda x: x <> '' AND NOT regexp_matches(x, '{T.JSON_LINE}') AND NOT regexp_matches(x, '{_BLOCK}', 'i')), chr(10))"
 
 
-@query(f"""WITH p AS (SELECT page_id, url, html, {_CLEANED} AS text FROM pages), g AS (SELECT *, {X.PROSE_WORDS} AS w, {X.PROSE_LINES} AS l FROM p)
-SELECT page_id, {X.EXACT} AS doc_id, w AS words, CASE WHEN NOT regexp_matches(url, '{R.EXCLUDED}', 'i') AND l >= 2 AND w >= 40 THEN 'kept' WHEN text = '' THEN 'failed' ELSE 'rejected' END AS outcome FROM g""")
+_PAGES = f"""p AS (SELECT page_id, url, html, {_CLEANED} AS text FROM pages), g AS (SELECT *, {X.PROSE_WORDS} AS w, {X.PROSE_LINES} AS l,
+coalesce(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(length(regexp_replace(text, '{X.WS}', '', 'g')), 0)::DOUBLE, 0.0) AS ratio FROM p),
+q AS (SELECT page_id, url, {X.EXACT} AS doc_id, w AS words, regexp_extract(html, '(?is)<title>\\s*(.*?)\\s*</title>', 1) AS title,
+CASE WHEN NOT regexp_matches(url, '{R.EXCLUDED}', 'i') AND starts_with(url, 'http') AND l >= 2 AND w >= 40 AND ratio >= 0.5 THEN 'kept' WHEN text = '' THEN 'failed' ELSE 'rejected' END AS outcome FROM g)"""
+
+
+@query(f"WITH {_PAGES} SELECT page_id, doc_id, words, title, outcome FROM q")
 def q_page_documents(spark, sf_dir):
-    """A landed page as a document, or why it is none."""
-    p = X.table(spark, sf_dir, "pages").select("page_id", "url", T.clean(R.html_text(F.col("html"))).alias("t"))
-    kept = R.wanted(F.col("url")) & T.good_document(F.col("t"), 40, 2)
-    outcome = F.when(kept, "kept").when(F.col("t") == "", "failed").otherwise("rejected")
-    return p.select("page_id", T.content_hash(F.col("t")).alias("doc_id"), T.prose_words(F.col("t")).alias("words"), outcome.alias("outcome"))
+    """A landed page as a document, behind the quality gate and the least share of its script, or why it is none."""
+    p = X.table(spark, sf_dir, "pages").select("page_id", "url", T.clean(R.html_text(F.col("html"))).alias("t"), R.html_title(F.col("html")).alias("title"))
+    return R.page_documents(p, "url", "t", "[A-Za-z]", 40, 2).select("page_id", "doc_id", "words", "title", "outcome")
 
 
-@query(f"SELECT regexp_extract(url, '://([^/?#]*)', 1) AS source, count(*)::BIGINT AS attempted, count(*) FILTER (WHERE outcome = 'kept')::BIGINT AS kept, count(*) FILTER (WHERE outcome = 'rejected')::BIGINT AS rejected FROM (SELECT url, CASE WHEN NOT regexp_matches(url, '{R.EXCLUDED}', 'i') THEN 'kept' ELSE 'rejected' END AS outcome FROM pages) GROUP BY 1")
+@query(f"WITH {_PAGES} SELECT regexp_extract(url, '://([^/?#]*)', 1) AS source, count(*)::BIGINT AS attempted, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}')::BIGINT AS {o}" for o in ("kept", "rejected", "failed")) + " FROM q GROUP BY 1")
 def q_crawl_outcomes(spark, sf_dir):
-    p = X.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("source"), R.wanted(F.col("url")).alias("ok"))
-    return p.groupBy("source").agg(F.count(F.lit(1)).alias("attempted"), F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
+    """Pages of each host: attempted, kept, rejected by a gate, failed to give a text."""
+    p = X.table(spark, sf_dir, "pages").select("url", T.clean(R.html_text(F.col("html"))).alias("t"))
+    d = R.page_documents(p, "url", "t", "[A-Za-z]", 40, 2).select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("source"), "outcome")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("attempted"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("kept", "rejected", "failed")])
 
 
 @query("SELECT label FROM (SELECT strftime(unnest(generate_series(date '2023-01-01', date '2024-12-01', interval 1 month)), '%Y-%m') AS label) WHERE label NOT IN (SELECT DISTINCT strftime(ts, '%Y-%m') FROM events)")
@@ -104,9 +109,11 @@ def q_display_pieces(spark, sf_dir):
     return p.select("piece", T.display_piece(F.col("piece")).alias("shown"), F.col("piece").rlike("^<0x..>$").alias("is_byte"))
 
 
-@query("SELECT count(*)::BIGINT AS consumed, count(*) FILTER (WHERE length(text) > 500)::BIGINT AS kept, source FROM documents GROUP BY source")
+@query(f"WITH {X.DOCS}, g AS (SELECT source, {X.GOOD} AS good, {X.PROSE_WORDS} AS words FROM d) SELECT source, count(*)::BIGINT AS consumed, count(*) FILTER (WHERE good)::BIGINT AS kept, coalesce(sum(words) FILTER (WHERE good), 0)::BIGINT AS words FROM g GROUP BY source")
 def q_download_progress(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("consumed"), F.count_if(F.length("text") > 500).alias("kept"))
+    """Records of each source that were read, that passed the quality gate, and the words of those."""
+    d = X.table(spark, sf_dir, "documents").select("source", T.good_document(F.col("text")).alias("good"), T.prose_words(F.col("text")).alias("w"))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("consumed"), F.count_if("good").alias("kept"), F.coalesce(F.sum(F.when(F.col("good"), F.col("w"))), F.lit(0)).alias("words"))
 
 
 @query("SELECT step, kept FROM (VALUES (1000, false), (2000, false), (3000, true), (4000, true)) v(step, kept)")

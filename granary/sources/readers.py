@@ -196,6 +196,15 @@ def record_documents(records: DataFrame, text: str, url: str, script: str, least
     return d.withColumn("doc_id", TX.content_hash(F.col(text))).withColumn("words", TX.prose_words(F.col(text))).withColumn(url, F.coalesce(F.col(url), F.lit("")))
 
 
+def page_documents(pages: DataFrame, url: str, text: str, script: str, words: int = 120, n_lines: int = 3, least: float = 0.5) -> DataFrame:
+    """Pages with their cleaned text; adds doc_id, words and outcome: kept, failed (no text) or rejected by the url, the quality
+    gate or the least share of a script."""
+    t = F.col(text)
+    kept = wanted(F.col(url)) & TX.good_document(t, words, n_lines) & (TX.script_ratio(t, script) >= least)
+    outcome = F.when(kept, "kept").when(F.coalesce(t, F.lit("")) == "", "failed").otherwise("rejected")
+    return pages.withColumn("doc_id", TX.content_hash(t)).withColumn("words", TX.prose_words(t)).withColumn("outcome", outcome)
+
+
 def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A report of one JSON object; a missing file is one row of nulls, never an error."""
     try:

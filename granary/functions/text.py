@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Unicode white space as Python's str.split() has it (Java's \s lacks most of it).
-WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_WS = WS.replace("[", "[^", 1)
+#: Classes are nested by how often their characters occur, as Java tries the members of a flat class from its last set inwards, each by an
+#: interface call on which all cores contend: what is no white space is known by its first range or two in nearly all texts.
+WS = r"[\x00-\x20\x7f-\xa0\x{1680}-\x{3000}&&[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+NOT_WS = r"[!-~[\xa1-\x{167f}[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}]]]"
 
 # Characters deleted and mapped by normalisation.
 INVISIBLE = "​‌‍‎‏­﻿⁠"

@@ -214,8 +214,9 @@ r AS (SELECT s.doc_id, s.lang, coalesce(predicted, 'unknown') AS predicted, roun
 
 def languages(spark, sf_dir: str) -> DataFrame:
     d = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    p = langid.predict(d, langid.train(d.where("doc_id % 2 = 0")))
-    return d.select("doc_id", "lang").join(p, "doc_id").withColumn("confidence", F.round("confidence", 6))
+    model = langid.train(d.where("doc_id % 2 = 0"))
+    p = langid.predict(d.select(F.struct("doc_id", "lang").alias("row"), "text"), model, ident="row")  # texts are read once, nothing is joined back
+    return p.select("row.*", "predicted", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {_LANG} SELECT doc_id, predicted, confidence, predicted = lang AND confidence >= 0.5 AS accepted FROM r")

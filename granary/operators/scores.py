@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -59,22 +63,40 @@ def intl_tokens(c: Column) -> Column:
 
 
 def chars(c: Column) -> Column:
-    """The characters that are no white space."""
-    return F.filter(F.split(F.regexp_replace(c, T.WS, ""), ""), lambda x: x != "")
-
-
-def clipped_matches(pairs: DataFrame, key: str, hypothesis: Column, reference: Column, orders: range) -> DataFrame:
-    """(n, matches, hyp, ref): n-gram counts of two arrays of tokens, each match at most as often as the reference has it."""
-    # tokens are made once, as a column: inside the lambda of n-grams an expression would run for every n-gram
-    both = pairs.select(F.col(key).alias("k"), F.inline(F.array(F.struct(F.lit("h").alias("side"), hypothesis.alias("t")), F.struct(F.lit("r").alias("side"), reference.alias("t")))))
-
-    def of(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-
-    grams = [of(n) for n in orders]
-    every = both.select("k", "side", F.inline(F.concat(*grams)))
-    counts = every.groupBy("k", "n", "g").agg(F.count_if(F.col("side") == "h").alias("h"), F.count_if(F.col("side") == "r").alias("r"))
-    return counts.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp"), F.sum("r").alias("ref"))
+    """The text without white space, whose characters are the tokens."""
+    return F.regexp_replace(c, T.WS, "")
+
+
+def clipped_matches(pairs: DataFrame, keys: list[str], hypothesis: Column, reference: Column, orders: range) -> DataFrame:
+    """(n, matches, hyp, ref): n-gram counts of two arrays of tokens, or of two strings by character, each match at most as often as
+    the reference has it. Pairs of equal keys count as one. n-grams are counted a key at a time and never leave their task; a fixed
+    number of tasks, as few MB of text take long to count and the rows may come in parts by a coarser key (conversations)."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.select(*keys, F.struct(hypothesis.alias("h"), reference.alias("r")).alias("p")).repartition(parts, *keys).groupBy(*keys).agg(F.collect_list("p").alias("p"))
+
+    def grams(texts: list, n: int) -> Counter:
+        found: Counter = Counter()
+        for t in texts:
+            found.update(map("\x01".join, zip(*(t[i:] for i in range(n)), strict=False)) if n > 1 else t)
+        return found
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = {n: [0, 0, 0] for n in orders}
+            for key in batch.column(0):
+                pairs = key.as_py()
+                sides = [[p[side] for p in pairs if p[side]] for side in "hr"]
+                for n, s in sums.items():
+                    h, r = (grams(texts, n) for texts in sides)
+                    s[0] += sum(min(c, r[g]) for g, c in h.items() if g in r)
+                    s[1] += h.total()
+                    s[2] += r.total()
+            rows = [(n, *s) for n, s in sums.items() if s[1] or s[2]]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in rows], pa.schema([("n", pa.int32()), *[(x, pa.int64()) for x in names[1:]]]))
+
+    names = ("n", "matches", "hyp", "ref")
+    counts = both.select("p").mapInArrow(count, "n int, matches long, hyp long, ref long")
+    return counts.groupBy("n").agg(*[F.sum(x).alias(x) for x in names[1:]])
 
 
 def bleu(counts: list, top: int = 4) -> float:

@@ -211,24 +211,23 @@ def _clipped_sql(h: str, r: str, grams, orders) -> str:
 SELECT n, sum(least(h, r))::BIGINT AS matches, sum(h)::BIGINT AS hyp, sum(r)::BIGINT AS ref FROM c GROUP BY n"""
 
 
-def keyed_pairs(spark, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
+PAIR = ["conv_id", "turn"]
 
 
 @query(_clipped_sql(_INTL.format("answer"), _INTL.format("prompt"), _grams_sql, (1, 2, 3, 4)))
 def q_bleu_counts(spark, sf_dir):
-    p = keyed_pairs(spark, sf_dir)
-    return scores.clipped_matches(p, "key", scores.intl_tokens(F.col("answer")), scores.intl_tokens(F.col("prompt")), range(1, 5))
+    p = pairs(spark, sf_dir)
+    return scores.clipped_matches(p, PAIR, scores.intl_tokens(F.col("answer")), scores.intl_tokens(F.col("prompt")), range(1, 5))
 
 
 @query(_clipped_sql(f"string_split(regexp_replace(answer, '{X.WS}', '', 'g'), '')", f"string_split(regexp_replace(prompt, '{X.WS}', '', 'g'), '')", _grams_sql, range(1, 7)))
 def q_chrf_counts(spark, sf_dir):
-    p = keyed_pairs(spark, sf_dir)
-    return scores.clipped_matches(p, "key", scores.chars(F.col("answer")), scores.chars(F.col("prompt")), range(1, 7))
+    p = pairs(spark, sf_dir)
+    return scores.clipped_matches(p, PAIR, scores.chars(F.col("answer")), scores.chars(F.col("prompt")), range(1, 7))
 
 
 @query()
 def q_bleu_chrf(spark, sf_dir):
     b, c = q_bleu_counts(spark, sf_dir).collect(), q_chrf_counts(spark, sf_dir).collect()  # ten rows
-    w = scores.clipped_matches(keyed_pairs(spark, sf_dir), "key", T.words(F.col("answer")), T.words(F.col("prompt")), range(1, 3)).collect()
+    w = scores.clipped_matches(pairs(spark, sf_dir), PAIR, T.words(F.col("answer")), T.words(F.col("prompt")), range(1, 3)).collect()
     return spark.createDataFrame([(scores.bleu(b), scores.chrf(c), scores.chrf([*c, *w]))], "bleu double, chrf double, chrf_pp double")

@@ -87,15 +87,20 @@ def clean(c: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def count_of(c: Column, chars: str) -> Column:
+    """How many characters of a class; by length, as regexp_count() makes a string of each match."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{chars}+", ""))
+
+
 def script_ratio(c: Column, chars: str = DEVANAGARI) -> Column:
     """Share of a script among characters that are no white space."""
     n = F.length(F.regexp_replace(c, WS, ""))
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(chars)), n), F.lit(0.0))
+    return F.coalesce(F.try_divide(count_of(c, chars), n), F.lit(0.0))
 
 
 def latin_ratio(c: Column, chars: str = DEVANAGARI) -> Column:
-    latin = F.regexp_count(c, F.lit("[A-Za-z]"))
-    return F.coalesce(F.try_divide(latin, latin + F.regexp_count(c, F.lit(chars))), F.lit(0.0))
+    latin = count_of(c, "[A-Za-z]")
+    return F.coalesce(F.try_divide(latin, latin + count_of(c, chars)), F.lit(0.0))
 
 
 def drop_foreign_lines(c: Column, most: float = 0.8, min_words: int = 4) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df through the checkpoint folder, so a lost executor costs no recomputation of what came before."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with c as the column name, made once a row: a filter on a plain column is moved below it, and there every mention of the
+    column runs its expression again."""
+    return df.select(*[x for x in df.columns if x != name], F.explode(F.array(c)).alias(name))

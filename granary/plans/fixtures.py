@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import once
+
 LATIN, NAGARI = "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"
 MANUAL = ("src0", "src1", "src2", "src3", "src4")
 
@@ -27,7 +29,7 @@ def nagari(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the documents in Devanagari; of every seventh only odd lines."""
     full = F.translate(F.lower("text"), LATIN, NAGARI)
     odd = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 1, F.translate(F.lower(x), LATIN, NAGARI)).otherwise(x)), "\n")
-    return documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 7 == 0, odd).when(F.col("doc_id") % 3 != 0, full).otherwise(F.col("text")))
+    return once(documents(spark, sf_dir), "text", F.when(F.col("doc_id") % 7 == 0, odd).when(F.col("doc_id") % 3 != 0, full).otherwise(F.col("text")))
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:

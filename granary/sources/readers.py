@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as TX
-from ..operators.lineage import cut
+from ..operators.lineage import cut, once
 
 DOCUMENT = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source_type", T.StringType()), T.StructField("source", T.StringType()),
@@ -191,7 +191,7 @@ def landed_records(spark: SparkSession, path: str, text_field: str) -> DataFrame
 
 def record_documents(records: DataFrame, text: str, url: str, script: str, least: float = 0.5, words: int = 120, n_lines: int = 3) -> DataFrame:
     """Records as documents: cleaned, behind the quality gate and a least share of a script; adds doc_id, words and ratio."""
-    d = records.where(TX.strip(F.col(text)) != "").withColumn(text, TX.clean(F.col(text)))
+    d = once(records.where(TX.strip(F.col(text)) != ""), text, TX.clean(F.col(text)))
     d = d.where(TX.good_document(F.col(text), words, n_lines)).withColumn("ratio", TX.script_ratio(F.col(text), script)).where(F.col("ratio") >= least)
     return d.withColumn("doc_id", TX.content_hash(F.col(text))).withColumn("words", TX.prose_words(F.col(text))).withColumn(url, F.coalesce(F.col(url), F.lit("")))
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import packing
 from . import fixtures as X
 from .cleaning import _SPLITS
-from .corpus import _PACK, _PAIRS, masked, packed, pairs
+from .corpus import _PACK, _PAIRS, masked, pairs
 from .evaluation import _ATT, attention
 from .registry import query
 
@@ -17,9 +17,12 @@ _STREAM = f"""{_PACK}, tl AS (SELECT doc_id, start, list_append(regexp_extract_a
 st AS (SELECT doc_id, (start + generate_subscripts(w, 1) - 1)::BIGINT AS pos, unnest(w) AS token FROM tl)"""
 
 
+def ordered(spark, sf_dir: str):
+    return X.documents(spark, sf_dir).where("text <> ''").select("doc_id", (F.col("source_type") == "downloaded").alias("later"), "source", "text")
+
+
 def stream(spark, sf_dir: str):
-    d = X.documents(spark, sf_dir).where("text <> ''").select("doc_id", (F.col("source_type") == "downloaded").alias("later"), "source", "text")
-    return packing.token_stream(d, T.words(F.col("text")), ["later", "source"], "doc_id")
+    return packing.token_stream(ordered(spark, sf_dir), T.words(F.col("text")), ["later", "source"], "doc_id")
 
 
 @query(f"WITH {_STREAM} SELECT doc_id, pos, token FROM st")
@@ -33,9 +36,8 @@ SELECT win, (win // 16)::BIGINT AS batch, sha1(string_agg(token, ' ' ORDER BY i)
 FROM z WHERE win < ((SELECT count(*) FROM st) - 1) // 512 // 16 * 16 GROUP BY win""")
 def q_token_windows(spark, sf_dir):
     """Windows of 512 tokens in batches of 16, with their targets one token later."""
-    total = packed(spark, sf_dir).agg(F.sum("n_tokens")).first()[0] or 0
-    w = packing.windows(stream(spark, sf_dir), total, 512, 16)
-    return w.select("win", "batch", *[F.sha1(F.array_join(c, " ")).alias(f"{c}_sha") for c in ("inputs", "targets")])
+    w = packing.packed_windows(ordered(spark, sf_dir), "text", ["later", "source"], "doc_id", 512, 16)
+    return w.select("win", "batch", *[F.sha1(c).alias(f"{c}_sha") for c in ("inputs", "targets")])
 
 
 @query(f"""WITH {_PAIRS}, t AS (SELECT *, regexp_extract_all(prompt, '{X.NOT_WS}+') AS a, regexp_extract_all(answer, '{X.NOT_WS}+') AS b, conv_id // 64 AS shard FROM pr),

@@ -39,3 +39,20 @@ def test_stream_and_windows_by_hand(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/stream").count() == len(want)
     with pytest.raises(ValueError, match="11 expected"):
         packing.write_stream(s, f"{tmp_path}/short", 11)
+
+
+def test_windows_are_cut_from_whole_texts(spark):
+    """The same windows as from the token stream, without a row for each token."""
+    from granary.plans.catalog import QUERIES
+
+    long = " ".join(f"w{i}" for i in range(23))
+    rows = [(2, "b", long), (1, "b", ""), (None, "b", "n o"), (1, None, "x y\x1cz\n"), (5, "a", " p q\tr "), (9, "b", None), (10_000, "b", "a b c"), (3, "a", long), (4, "a", "one")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    s = packing.token_stream(d.where("text is not null"), T.words(F.col("text")), ["source"], "doc_id")
+    for width, batch in ((1, 1), (2, 3), (4, 2), (7, 1), (100, 1)):
+        want = [(r["win"], r["batch"], " ".join(r["inputs"]), " ".join(r["targets"])) for r in packing.windows(s, s.count(), width, batch).orderBy("win").collect()]
+        got = packing.packed_windows(d, "text", ["source"], "doc_id", width, batch)
+        assert [tuple(r) for r in got.orderBy("win").collect()] == want and (want or width == 100)
+    assert packing.packed_windows(d.where("false"), "text", ["source"], "doc_id", 2, 1).count() == 0
+    plan = QUERIES["q_token_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan

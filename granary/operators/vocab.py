@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 SPECIALS = ["<pad>", "<unk>", "<s>", "</s>"]
 MARK = "▁"
@@ -37,9 +39,29 @@ def training_lines(docs: DataFrame, text: str = "text", share: float = 0.25, lea
     return sample.select("line")
 
 
+#: Distinct words that are counted at a time: some tens of MB. Then the counts so far are given out.
+WORDS_AT_ONCE = 200_000
+
+
 def word_frequencies(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(word, n): the only step that sees the corpus; counts combine before the shuffle."""
-    return lines.select(F.explode(T.words(F.col(column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n): the only step that sees the corpus; words are counted where the texts are read, only counts are shuffled."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update((t.as_py() or "").split())
+                if len(seen) >= WORDS_AT_ONCE:
+                    yield given()
+        yield given()
+
+    return lines.select(column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train_bpe(words: DataFrame, size: int, coverage: float = 0.9995) -> list[str]:
@@ -190,5 +212,6 @@ def evaluate_candidates(encoded: DataFrame) -> DataFrame:
 
 
 def lookup_selected(candidates: DataFrame, cap: int, tolerance: float = 0.03) -> DataFrame:
-    """The row of the selected size."""
+    """The row of the selected size. The rows, one a size, are made once, though they are read four times."""
+    candidates = cut(candidates)
     return candidates.join(F.broadcast(select_vocabulary(candidates, cap, tolerance)), "vocab_size")  # one row

@@ -1,6 +1,7 @@
 """Operators against hand-made cases and sequential re-computation."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,18 @@ def test_ngrams_are_matched_without_a_row_each(spark):
     assert sorted(tuple(r) for r in by_char.collect()) == [(2, 2, 4, 5), (3, 0, 2, 2)]
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_words_are_counted_where_texts_are_read(spark, monkeypatch):
+    """No row for each word, the same counts where a task's words are given out several times; the looked up row is made once."""
+    from granary.plans.catalog import QUERIES
+
+    texts = ["a b\x1ca c\xa0\x85b", "", None, " \n\t ", "a​b c", "d e f g a a", "क ख क"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = Counter(w for t in texts for w in (t or "").split())
+    for at_once in (2, 200_000):
+        monkeypatch.setattr(vocab, "WORDS_AT_ONCE", at_once)
+        assert {r["word"]: r["n"] for r in vocab.word_frequencies(d, "text").collect()} == want
+    assert "explode" not in vocab.word_frequencies(d, "text")._jdf.queryExecution().optimizedPlan().toString()
+    plan = QUERIES["q_vocab_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" not in plan and "Join" in plan

@@ -17,7 +17,7 @@ def filtered(docs: DataFrame, least: int = 10, text: str = "text", ident: str =
     boilerplate_lines, what the two filters dropped. Written once, as the lines are counted and dropped in two readings."""
     d = docs.withColumn("_n", T.normalize(F.col(text))).withColumn(text, T.drop_foreign_lines(F.col("_n")))
     d = cut(d.withColumn("foreign_lines", T.lines_dropped(F.col("_n"), F.col(text)).cast("long")).drop("_n"))
-    hot = boilerplate.line_counts(d, text, ident).where(F.col("n") >= least)
+    hot = boilerplate.hash_counts(d, text).where(F.col("n") >= least)
     return boilerplate.drop_lines(d, hot, ident, text).withColumn(text, F.col("kept")).withColumnRenamed("dropped", "boilerplate_lines").drop("kept")
 
 

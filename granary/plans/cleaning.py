@@ -118,7 +118,7 @@ def q_boilerplate_lines(spark, sf_dir):
 coalesce(sum(n) FILTER (WHERE n >= 10), 0)::BIGINT AS n_hot_lines, coalesce(sum(n) FILTER (WHERE n >= 10), 0) / sum(n)::DOUBLE AS hot_share FROM b""")
 def q_boilerplate_summary(spark, sf_dir):
     hot = F.coalesce(F.sum(F.when(F.col("n") >= 10, F.col("n"))), F.lit(0))
-    return boilerplate.line_counts(X.documents(spark, sf_dir)).agg(
+    return boilerplate.hash_counts(X.documents(spark, sf_dir)).agg(
         F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") >= 10).alias("n_hot"), hot.alias("n_hot_lines"), (hot / F.sum("n")).alias("hot_share")
     )
 
@@ -133,7 +133,7 @@ def q_boilerplate_top(spark, sf_dir):
 SELECT doc_id, sha1(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hot), '')) AS sha, count(*) FILTER (WHERE hot)::BIGINT AS dropped FROM k GROUP BY doc_id""")
 def q_drop_boilerplate(spark, sf_dir):
     d = X.documents(spark, sf_dir)
-    hot = boilerplate.line_counts(d).where("n >= 10")
+    hot = boilerplate.hash_counts(d).where("n >= 10")
     return boilerplate.drop_lines(d.select("doc_id", "text"), hot).select("doc_id", F.sha1("kept").alias("sha"), "dropped")
 
 

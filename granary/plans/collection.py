@@ -77,14 +77,14 @@ def q_line_counters(spark, sf_dir):
     """Lines that the two line filters drop, of all documents, before any gate."""
     d = X.nagari(spark, sf_dir).select("doc_id", "source_type", "text")
     far = d.groupBy("source_type").agg(F.sum(T.lines_dropped(F.col("text"), T.drop_foreign_lines(F.col("text")))).alias("dropped_foreign"))
-    kept = boilerplate.drop_lines(d, boilerplate.line_counts(d).where("n >= 10"))
+    kept = boilerplate.drop_lines(d, boilerplate.hash_counts(d).where("n >= 10"))
     return far.join(kept.groupBy("source_type").agg(F.sum("dropped").alias("dropped_boilerplate")), "source_type")
 
 
 @query(f"WITH {_LINES} SELECT (row_number() OVER (ORDER BY hash))::INT AS place, hash FROM b WHERE n >= 10")
 def q_hot_hash_list(spark, sf_dir):
     """The list of repeated lines as it is stored, in the order of the hashes; it has as many rows as lines over the threshold."""
-    hot = boilerplate.line_counts(X.documents(spark, sf_dir)).where("n >= 10").select("hash")
+    hot = boilerplate.hash_counts(X.documents(spark, sf_dir)).where("n >= 10").select("hash")
     return hot.select(F.row_number().over(Window.orderBy("hash")).alias("place"), "hash")
 
 

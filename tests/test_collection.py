@@ -140,3 +140,20 @@ def test_records_are_cleaned_once(spark):
     d = spark.createDataFrame([(1, "ab", None)], "k long, text string, url string")
     plan = R.record_documents(d, "text", "url", "[a-z]")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sponsored") + plan.count("Sponsored") == 1
+
+
+def test_lines_are_dropped_where_texts_are_read(spark):
+    """No text is shuffled and no row made for each line; long lists are joined, with the same results."""
+    from granary.plans.catalog import QUERIES
+
+    texts = ["a\n\xa0b \nc", "b\n\nb\x1c", None, "", "\n", " a\n b　\n​b", "only\r\n", "a"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = {r["hash"]: r["n"] for r in boilerplate.line_counts(d).collect()}
+    assert {r["hash"]: r["n"] for r in boilerplate.hash_counts(d).collect()} == counts and sorted(counts.values()) == [1, 1, 1, 3, 4]
+    for least in (1, 3, 4, 99):
+        hot = boilerplate.hash_counts(d).where(F.col("n") >= least)
+        here, joined = ([tuple(r) for r in boilerplate.drop_lines(d, hot, most=most).orderBy("doc_id").collect()] for most in (100, 0))
+        assert here == joined
+    assert [r["kept"] for r in boilerplate.drop_lines(d, boilerplate.hash_counts(d).where("n >= 3")).orderBy("doc_id").collect()] == ["c", "", None, "", "\n", "​b", "only\r\n", ""]
+    plan = QUERIES["q_drop_boilerplate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan
